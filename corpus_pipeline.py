@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vialytics.llm import exact_dedup, packing
+from vialytics.llm import exact_dedup, ngram_join, packing, span_dedup
 from vialytics.llm.common import materialize, table
 
 
@@ -14,6 +14,16 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.drop_copies(docs)
 
 
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word n-grams at a Jaccard similarity of 0.8 or more stays."""
+    return ngram_join.keep_one(docs, 5, "0.8")
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each passage that repeats, the first occurrence stays; the rest is cut out of its documents."""
+    return span_dedup.clean(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 4096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -21,6 +31,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("exact_dedup", remove_copies),
+    ("ngram_join", remove_near_copies),
+    ("span_dedup", remove_passages),
     ("packing", pack),
 ]
 

@@ -56,7 +56,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    made = [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

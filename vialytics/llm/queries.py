@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, warc
+from . import bpe, exact_dedup, metric_join, ngram_join, packing, span_dedup, warc
 from .common import table
 
 
+def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -17,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 4, "0.85")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -27,7 +35,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op5_warc, op6_exact_dedup)}
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.selectExpr("doc_id", "n_sentences", "n_removed", "to_json(removed) as removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op10_span_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vialytics.llm import exact_dedup, ngram_join, packing, span_dedup
+from vialytics.llm import exact_dedup, ngram_join, packing, span_dedup, toxicity
 from vialytics.llm.common import materialize, table
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text the classifier scores as toxic go; it learns from the labels beside the documents."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the smallest doc_id."""
     return exact_dedup.drop_copies(docs)
@@ -30,6 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", remove_toxic),
     ("exact_dedup", remove_copies),
     ("ngram_join", remove_near_copies),
     ("span_dedup", remove_passages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, metric_join, ngram_join, packing, span_dedup, warc
+from . import bpe, exact_dedup, language_id, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -35,12 +35,27 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.corpus_rollup(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k").totals()
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n_sentences", "n_removed", "to_json(removed) as removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op10_span_dedup)}
+QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

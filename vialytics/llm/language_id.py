@@ -147,14 +147,19 @@ def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
     model = CRF(names)
     rng = np.random.default_rng(SEED)
     k = len(names)
-    words = Words(texts)
-    f = Features(words)
-    n = np.diff(words.first)
-    label = np.repeat([names.index(x) for x in langs], n)
+    # first pass, a batch at a time: word counts and the lexicon
+    n, word = [], []
+    for lo, hi, words in _by_words(texts):
+        n.append(np.diff(words.first))
+        word.append(Features(words).word)
+    n = np.concatenate([np.zeros(0, dtype=np.int64), *n])
+    start = np.concatenate([[0], np.cumsum(n)])
+    label = np.repeat(np.array([names.index(x) for x in langs], dtype=np.int64), n)
     if not len(label):
         return model
+    word = np.concatenate(word)
     counts = np.zeros((LEXICON, k))
-    np.add.at(counts, (f.word, label), 1)
+    np.add.at(counts, (word, label), 1)
     total = counts.sum(axis=1)
     pure = (total >= LEAST) & (counts.max(axis=1) >= PURE * total)
     model.lexicon[pure] = counts[pure].argmax(axis=1) + 1
@@ -168,7 +173,7 @@ def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
         pool, ends = pools[rng.integers(len(pools))]
         d = pool[np.searchsorted(ends, rng.integers(ends[-1]), side="right")]
         at = rng.integers(n[d])
-        return words.first[d] + (at + np.arange(count)) % n[d]
+        return start[d] + (at + np.arange(count)) % n[d]
 
     rows = np.empty((SEQUENCES, LENGTH), dtype=np.int64)
     for s in range(SEQUENCES):
@@ -176,21 +181,34 @@ def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
         rows[s, :cut] = draw(cut)
         if cut < LENGTH:
             rows[s, cut:] = draw(LENGTH - cut)
+    # second pass: the features of the words that stand in sequences
+    needed = np.unique(rows)
+    ids_of, width_of, at = [], [], 0
+    for lo, hi, words in _by_words(texts):
+        mine = needed[(needed >= at) & (needed < at + len(words.start))] - at
+        ids, first = Features(words).of(mine)
+        ids_of.append(ids)
+        width_of.append(np.diff(np.append(first, len(ids))))
+        at += len(words.start)
+    ids_of, width_of = np.concatenate(ids_of), np.concatenate(width_of)
+    begin_of = np.cumsum(width_of) - width_of
     step_w, step_k, step_m = np.full(model.weights.shape, 1e-6, dtype=np.float32), np.full(model.known.shape, 1e-6), np.full((k, k), 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(SEQUENCES)
         for lo in range(0, SEQUENCES, BATCH):
             seq = rows[order[lo : lo + BATCH]]
             w = seq.ravel()
-            ids, first = f.of(w)
-            lex = model.lexicon[f.word[w]]
+            spot = np.searchsorted(needed, w)
+            width = width_of[spot]
+            first = np.cumsum(width) - width
+            ids = ids_of[np.arange(int(width.sum())) + np.repeat(begin_of[spot] - first, width)]
+            lex = model.lexicon[word[w]]
             e = np.add.reduceat(model.weights[ids], first, axis=0).astype(np.float64) + model.known[lex]
             alpha, beta, x, a = model.forward_backward(e, np.arange(len(seq) + 1) * LENGTH)
             post = alpha * beta
             post = (post / post.sum(axis=0)).T
             gold = np.eye(k)[label[w]]
             g = (post - gold) / len(seq)
-            width = np.diff(np.append(first, len(ids)))
             used, inverse = np.unique(ids, return_inverse=True)
             spread = np.repeat(g, width, axis=0)
             gw = np.stack([np.bincount(inverse, weights=spread[:, c], minlength=len(used)) for c in range(k)], axis=1) + DECAY * model.weights[used]

@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: State and territory codes of Indian registrations.
 STATES = (
@@ -66,7 +67,7 @@ def corrections(plate: str) -> dict[str, int]:
     return found
 
 
-@F.pandas_udf("struct<canonical string, corrections int>")
+@F.pandas_udf(T.StructType([T.StructField("canonical", T.StringType()), T.StructField("corrections", T.IntegerType())]))
 def _corrected(plates: pd.Series) -> pd.DataFrame:
     rows = []
     for p in plates:
@@ -97,7 +98,7 @@ def validated(text: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts; 0 where one is missing."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
@@ -108,7 +109,7 @@ def unconfused(plate: Column) -> Column:
     return F.translate(plate, "0158", "OISB")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_edit_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - weighted edit distance / longer length; a mix-up of look-alikes costs 0.35, any other edit 1."""
     alike = {frozenset((x, y)) for x, ys in TO_LETTER.items() for y in ys}

@@ -1,6 +1,6 @@
 """The registered queries over the test tables."""
 
-from . import analytics
+from . import analytics, embeddings, observations, plates, quality, reports, streams
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "embeddings", "observations", "plates", "quality", "reports", "streams"]

@@ -23,7 +23,8 @@ def weighted_vote(predictions: DataFrame, key: str, label: str = "label", weight
         F.max(F.when(F.col("rank") == 2, F.col("w"))).alias("second"), F.sum("w").alias("total"),
     )
     agreement = F.try_divide(F.col("first"), F.col("total"))
-    close = F.col("first") - F.col("second") <= F.greatest(F.lit(LEAST_GAP), GAP_SHARE * F.col("first"))
+    # rounded, so that a gap of just the limit does not depend on the order of sums
+    close = F.round((F.col("first") - F.col("second")).cast("double"), 9) <= F.round(F.greatest(F.lit(LEAST_GAP), GAP_SHARE * F.col("first").cast("double")), 9)
     reason = (
         F.when(F.col("second").isNull() & (F.col("first") < WEAK), "single_weak_prediction").when(F.col("second").isNull(), "weighted_agreement")
         .when(close, "conflicting_high_quality_predictions").when(agreement >= AGREEMENT, "weighted_majority").otherwise("insufficient_agreement")

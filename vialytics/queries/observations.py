@@ -55,7 +55,7 @@ def lifecycle_metrics(spark, sf_dir):
 
 @query(
     O
-    + """, c as (select track_no, raw_class_name, sum(confidence) as w, count(*) as n from o group by 1, 2),
+    + """, c as (select track_no, raw_class_name, sum(cast(round(confidence, 2) as decimal(10, 2))) as w, count(*) as n from o group by 1, 2),
     r as (select *, row_number() over (partition by track_no order by w desc, raw_class_name desc) as p from c),
     t as (select track_no, sum(n) as obs, max(case when p = 1 then raw_class_name end) as winner, max(case when p = 1 then n end) as wn, max(case when p = 1 then w end) as w1, max(case when p = 2 then w end) as w2 from r group by 1)
     select track_no, cast(obs as bigint) as observations, case when obs < 3 or wn / obs < 0.60e0 or coalesce(w1 <= w2, false) then 'UNKNOWN' else winner end as final_class,

@@ -6,7 +6,8 @@
 2. Documents that signatures connect form candidate cells; every link lies inside one cell.
 3. In a cell the sets, ordered by global frequency in the cell, are stored in a trie. A probe walks it once, shares the
    overlap of common prefixes, and prunes a subtree when even its whole rest could not reach the threshold.
-   Large cells are first contracted around leaders and what remains is joined block by block.
+   Of large cells only sets whose n-grams are shared often enough to link at all go on; those are contracted around
+   leaders and what remains is joined block by block.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ _STEP, _BAND, _EMPTY = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA076
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 SIGNATURE, COPY, CANDIDATE, META, SURE = range(5)
+OPEN, SHARED, COUNTED = range(3)
+_COUNT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
+#: While the table of candidates is at most this large, Spark may filter texts with a Bloom filter (of 8 MB at most)
+#: before it sends them to their cells; beyond it, every text is sent once.
+FILTER_BYTES = 256 << 20
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -332,6 +338,81 @@ def _tries(tasks: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.mapInArrow(_join_cells(threshold), "a long, b long")
 
 
+def _scan_shared(buckets: int):
+    """Sends each n-gram of a cell once from every chunk; n-grams that sets of one chunk share are counted at once."""
+
+    def run(it):
+        keys, ids, size, serial = [], [], 0, 0
+
+        def flush():
+            head, first, again, other, _ = _first_of_runs(np.concatenate(keys), np.concatenate(ids))
+            known = np.isin(head, again)
+            rows = [*_messages(OPEN, head[~known], first[~known], buckets), *_messages(SHARED, head[known], first[known], buckets)]
+            if len(other):
+                rows.append((serial * 7919 % buckets, COUNTED, np.stack(np.unique(np.concatenate([other, first[known]]), return_counts=True)).tobytes()))
+            for lo in range(0, len(rows), 64):
+                o, k, p = zip(*rows[lo : lo + 64])
+                yield arrow_rows(_MESSAGE, bucket=o, kind=k, payload=p)
+
+        for cells, docs, grams in batches(it, "cell", "doc_id", "grams"):
+            for c, d, g in zip(cells.to_numpy(), docs.to_pylist(), grams):
+                keys.append(mix64(np.frombuffer(g.as_py(), dtype=np.uint64) + c.astype(np.uint64) * _STEP))
+                ids.append(np.full(len(keys[-1]), d, dtype=np.int64))
+                size += len(keys[-1])
+                if size >= FLUSH:
+                    serial += 1
+                    yield from flush()
+                    keys, ids, size = [], [], 0
+        if keys:
+            serial += 1
+            yield from flush()
+
+    return run
+
+
+def _own_shared(it):
+    """(doc_id, number of its n-grams owned here that another set of its cell has too)."""
+    got = {k: [] for k in range(3)}
+    for kinds, payloads in batches(it, "kind", "payload"):
+        for k, p in zip(kinds.to_pylist(), payloads):
+            got[k].append(p.as_py())
+    counts = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got[COUNTED]]
+    if got[OPEN]:
+        keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got[OPEN])))
+        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+        more = times[inverse] > 1
+        if got[SHARED]:
+            more |= np.isin(keys, np.concatenate([_read_message(p)[0] for p in got[SHARED]]))
+        counts.append(np.stack(np.unique(ids[more], return_counts=True)))
+    for ids, n in counts:
+        for lo in range(0, len(ids), 50_000):
+            yield arrow_rows(_COUNT, doc_id=ids[lo : lo + 50_000], n=n[lo : lo + 50_000])
+
+
+def _linkable(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """The sets that may link: a link needs threshold of a set's own n-grams in other sets of its cell."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sets.select("cell", "doc_id", "grams").mapInArrow(_scan_shared(4 * parts), "bucket int, kind int, payload binary")
+    count = sent.repartition(parts, "bucket").mapInArrow(_own_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    enough = F.col("n") * threshold.denominator * 8 >= F.length("grams") * threshold.numerator
+    return sets.join(materialize(count, "shared-grams"), "doc_id").where(enough).select("cell", "doc_id", "grams")
+
+
+def _filtered_join(texts: DataFrame, members: DataFrame, tag: str, expand, schema: str) -> DataFrame:
+    """expand over the join of texts with members, written as a table; Spark's runtime filter is allowed at any size of texts."""
+    conf = texts.sparkSession.conf
+    names = ("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold")
+    before = [conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("0", str(FILTER_BYTES))):
+            conf.set(name, value)
+        found = texts.join(members.where("size > 1"), texts["doc_id"] == members["id"])
+        return materialize(found.select("doc_id", "text", "cell", "copied", "size").mapInArrow(expand, schema), tag)
+    finally:
+        for name, value in zip(names, before):
+            conf.set(name, value)
+
+
 def _contract_large(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Links inside cells of more than CELL sets: leaders first, then the blocks that leaders left apart."""
     num, den = threshold.numerator, threshold.denominator
@@ -393,31 +474,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
     edges = found.where(F.col("kind").isin(SURE, CANDIDATE)).select("a", "b")
     cells = connected_components(edges, "cells")
     copies = sure.groupBy("a").agg(F.max("c").alias("copied"))
-    cells = cells.join(copies, cells["id"] == copies["a"], "left").select("id", F.col("component_id").alias("cell"), "copied")
-    cells = materialize(cells, "cells")
-    schema = pa.schema([("cell", pa.int64()), ("doc_id", pa.int64()), ("grams", pa.binary())])
+    # a copy is linked already and its first stands for it, unless its id is repeated with other texts
+    rows = found.where((F.col("kind") == META) & F.col("a").isNotNull()).groupBy(F.col("a").alias("row_id")).agg(F.count("*").alias("n"))
+    live = cells.join(copies, cells["id"] == copies["a"], "left").join(rows, F.col("id") == F.col("row_id")).where("copied is null or n > 1")
+    live = materialize(live.select("id", F.col("component_id").alias("cell"), "copied", "n"), "live")
+    members = materialize(live.join(live.groupBy("cell").agg(F.sum("n").alias("size")), "cell").where("size > 1").select("id", "cell", "copied", "size"), "members")
+    schema = pa.schema([("cell", pa.int64()), ("size", pa.int64()), ("doc_id", pa.int64()), ("grams", pa.binary())])
 
     def expand(it):
-        for ids, texts, cell, copied in batches(it, "doc_id", "text", "cell", "copied"):
+        for ids, texts, cell, copied, size in batches(it, "doc_id", "text", "cell", "copied", "size"):
             out = []
-            for d, x, c, k in zip(ids.to_pylist(), texts, cell.to_pylist(), copied.to_pylist()):
+            for d, x, c, k, m in zip(ids.to_pylist(), texts, cell.to_pylist(), copied.to_pylist(), size.to_pylist()):
                 h = shingles(x.as_py(), n)
                 fp = mix64(h.sum(dtype=np.uint64, keepdims=True) + _U(len(h))).view(np.int64)[0]
-                if len(h) and fp != k:  # a copy is linked already, its first stands for it
-                    out.append((c, d, h.tobytes()))
+                if len(h) and fp != k:
+                    out.append((c, m, d, h.tobytes()))
             for lo in range(0, len(out), 500):
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 500]))))
 
-    members = cols.join(cells, cols["doc_id"] == cells["id"]).select("doc_id", "text", "cell", "copied")
-    sets = materialize(members.mapInArrow(expand, "cell long, doc_id long, grams binary"), "sets")
-    sizes = sets.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    sizes = materialize(sizes, "sizes")
-    big = sizes.where(F.col("size") > CELL).select("cell")
-    small = sets.join(sizes.where(F.col("size") <= CELL).select("cell"), "cell")
-    small = small.select(F.col("cell").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("home"), "grams")
-    links = _tries(small, t)
-    if big.limit(1).count():
-        links = links.unionByName(_contract_large(materialize(sets.join(big, "cell"), "large-cells"), t))
+    sets = _filtered_join(cols, members, "sets", expand, "cell long, size long, doc_id long, grams binary")
+    small = sets.where(F.col("size") <= CELL).drop("size")
+    large = sets.where(F.col("size") > CELL)
+    if large.limit(1).count():
+        kept = materialize(_linkable(large, t), "linkable")
+        sizes = materialize(kept.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
+        small = small.unionByName(kept.join(sizes.where(F.col("size").between(2, CELL)), "cell").drop("size"))
+        large = kept.join(sizes.where(F.col("size") > CELL), "cell").drop("size")
+    links = _tries(small.select(F.col("cell").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("home"), "grams"), t)
+    if large.limit(1).count():
+        links = links.unionByName(_contract_large(materialize(large, "large-cells"), t))
     component = connected_components(links.unionByName(sure.select("a", "b")), "links")
     component = materialize(component, "components")
     meta = found.where(F.col("kind") == META).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))

@@ -113,6 +113,22 @@ def test_metric_join_equals_brute_force(spark, monkeypatch):
     assert metric_join.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_metric_join_keeps_links_across_pivots_one_ulp_apart(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "CELL", 1)  # every vector of the label is a pivot
+    base = np.random.default_rng(5).normal(size=(60, 64)).astype(np.float32)
+    base[:, 0] = 9  # the largest component scales both twins alike
+    twin = base.copy()
+    twin[:, 7] = np.nextafter(twin[:, 7], np.float32(100))
+    rows = [(2 * i + k, v[i].tolist(), 1) for i in range(60) for k, v in enumerate((base, twin))]
+    x = np.array([v for _, v, _ in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.98
+    want = {i: (int(linked[i].sum()) - 1, int(np.flatnonzero(linked[i]).min())) for i in range(120)}
+    assert set(want.values()) == {(1, 2 * i) for i in range(60)}
+    got = metric_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def test_spans_against_brute_force(spark):
     rng = random.Random(9)
     vocab = [f"v{i}" for i in range(80)]

@@ -50,7 +50,8 @@ def _assign(pivots, reach: float):
     schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary())])
 
     def run(it):
-        tables = {k: (u, np.sqrt(np.maximum(0.0, 2 - 2 * u @ u.T))) for k, raw in pivots.value.items() for u in [_unit(raw)]}
+        # from differences: 2 - 2 cos would lose the distance of pivots that are nearly one vector
+        tables = {k: (u, np.stack([np.linalg.norm(u - p, axis=1) for p in u])) for k, raw in pivots.value.items() for u in [_unit(raw)]}
         for labels, reps, weights, vectors in batches(it, "label", "rep", "weight", "vector"):
             out = []
             for lab, rep, w, raw in zip(labels.to_pylist(), reps.to_pylist(), weights.to_pylist(), vectors.to_pylist()):
@@ -64,8 +65,7 @@ def _assign(pivots, reach: float):
                 p = int(np.argmax(cos))
                 margin = cos[p] - cos - reach * between[p]  # distance to the plane between p and q: (cos_p - cos_q) / |p - q|
                 for q in np.flatnonzero(margin <= 1e-9).tolist():
-                    if q == p or between[p][q] > 0:
-                        out.append((lab, dim, q, q == p, rep, w, raw))
+                    out.append((lab, dim, q, q == p, rep, w, raw))
             for lo in range(0, len(out), 2000):
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 2000]))))
 

@@ -121,3 +121,21 @@ def test_rollup_against_brute_force(spark):
     assert sorted(map(tuple, rollup.totals().collect()), key=str) == sorted(map(tuple, got), key=str)
     assert token_counts.Rollup(spark).totals().count() == 0
     assert token_counts.corpus_rollup(docs.limit(0), path, "v1").totals().count() == 0
+
+
+def test_rollup_counts_documents_by_their_own_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rows = [(1, "a b", "x"), (None, "a b", "x"), (None, "own text", "x"), (None, "own text", "y"), (2, "a b", "x"), (2, "other text here", "x"), (3, "a b", "x"), (1, "a b", "x"), (4, None, "y")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    size = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
+
+    def sums(of, version, more):
+        return {(s, version): (len(g), sum(map(size, g)) + more * len(g)) for s in "xy" if (g := [t for k, (_, t, source) in enumerate(rows) if k in of and source == s])}
+
+    def totals(rollup):
+        return {(r.source, r.tokenizer): (r.docs, r.tokens) for r in rollup.totals().collect()}
+
+    assert totals(token_counts.corpus_rollup(docs, path, "v1")) == sums({0, 2, 3, 5, 7, 8}, "v1+end", 1)
+    every = set(range(len(rows)))
+    assert totals(token_counts.corpus_rollup(docs, path, "v1", whole=True)) == sums(every, "v1", 0) | sums(every, "v1+end", 1)

@@ -37,7 +37,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_counts.corpus_rollup(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k").totals()
+    return token_counts.corpus_rollup(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k", whole=True).totals()
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

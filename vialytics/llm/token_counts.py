@@ -21,20 +21,27 @@ KEYS = ["source", "lang", "tokenizer"]
 INSERT, DELETE = 1, -1
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, n_tokens) of each row: byte-level BPE ids of the whole text; null text has none."""
+def _keyed_counts(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
+    """token_counts with key, a hash of the text; null text and empty text have the same."""
     sent = read_tokenizer(docs, tokenizer_path)
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_tokens", pa.int64()), ("key", pa.binary())])
 
     def run(it):
         bpe = loaded(sent)
         for ids, sources, langs, texts in batches(it, "doc_id", "source", "lang", "text"):
-            counts = [c.count(",") + 1 if (c := bpe.encode(t.as_py() or "")) else 0 for t in texts]
-            yield arrow_rows(schema, doc_id=ids, source=sources, lang=langs, n_tokens=counts)
+            texts = [t.as_py() or "" for t in texts]
+            counts = [c.count(",") + 1 if (c := bpe.encode(t)) else 0 for t in texts]
+            keys = [hashlib.sha256(t.encode()).digest() for t in texts]
+            yield arrow_rows(schema, doc_id=ids, source=sources, lang=langs, n_tokens=counts, key=keys)
 
     cols = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "cast(lang as string) as lang", "cast(text as string) as text")
-    counted = cols.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long")
-    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens")
+    counted = cols.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, key binary")
+    return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", "key")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
+    """(doc_id, source, lang, tokenizer, n_tokens) of each row: byte-level BPE ids of the whole text; null text has none."""
+    return _keyed_counts(docs, tokenizer_path, version).drop("key")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -96,28 +103,30 @@ class Rollup:
         return sums.where("docs <> 0 or tokens <> 0")
 
 
-def corpus_rollup(docs: DataFrame, tokenizer_path: str, version: str, folder: str | None = None) -> Rollup:
-    """The rollup of docs (doc_id, text, source, lang) after four batches over the whole table.
+def corpus_rollup(docs: DataFrame, tokenizer_path: str, version: str, folder: str | None = None, whole: bool = False) -> Rollup:
+    """The rollup of docs (doc_id, text, source, lang) after four batches over the whole table, and a fifth if whole.
 
     All documents are inserted; those whose text is the same as that of a row with a smaller id (null ids come last) are
     deleted; the counts of all others are revised to a version `<version>+end` that adds an end-of-text token; the
-    revision is sent again, which changes nothing. Rows that repeat an id and its text are deleted alike.
+    revision is sent again, which changes nothing. Rows that repeat an id and its text are deleted alike; rows that only
+    repeat an id, or have none, are judged by their own texts. The fifth batch adds what the others took away: then the
+    totals of both versions are those of all documents.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    counts = materialize(token_counts(docs, tokenizer_path, version), "token-counts")
-    ids = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("_key")), "text-keys")
-    firsts = materialize(ids.groupBy("_key").agg(F.min("doc_id").alias("id")), "first-copies")
-    copies = ids.join(firsts, "_key").where(~F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("doc_id").alias("copy")).distinct()
-    copies = materialize(copies, "copies")
-    gone = F.col("copy_found").isNotNull()
-    flagged = counts.join(copies.withColumn("copy_found", F.lit(1)), counts["doc_id"].eqNullSafe(copies["copy"]), "left").select(*counts.columns, gone.alias("gone"))
-    flagged = materialize(flagged, "flagged")
-    left = flagged.where(~F.col("gone"))
-    revised = left.select("source", "lang", F.lit(f"{version}+end").alias("tokenizer"), (F.col("n_tokens") + 1).alias("n_tokens"))
+    counts = materialize(_keyed_counts(docs, tokenizer_path, version), "token-counts")
+    firsts = materialize(counts.groupBy("key").agg(F.min("doc_id").alias("first")), "first-copies")
+    gone = ~F.col("doc_id").eqNullSafe(F.col("first"))
+    flagged = materialize(counts.join(firsts, "key").select("source", "lang", "tokenizer", "n_tokens", gone.alias("gone")), "flagged")
+    copies, left = flagged.where("gone"), flagged.where(~F.col("gone"))
+
+    def revised(rows):
+        return rows.select("source", "lang", F.lit(f"{version}+end").alias("tokenizer"), (F.col("n_tokens") + 1).alias("n_tokens"))
+
     rollup = Rollup(spark, folder)
     rollup.commit("insert", inserts(counts))
-    rollup.commit("delete copies", deletes(flagged.where("gone")))
+    rollup.commit("delete copies", deletes(copies))
     for _ in range(2):
-        rollup.commit("revise", revisions(left, revised))
+        rollup.commit("revise", revisions(left, revised(left)))
+    if whole:
+        rollup.commit("restore", inserts(flagged).unionByName(inserts(revised(copies))))
     return rollup

@@ -83,6 +83,14 @@ def test_ngram_join_keeps_one_and_takes_empty_tables(spark):
     assert ngram_join.jaccard_components(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [0, 2, 1, 3]])
+def test_ngram_join_links_each_text_of_a_repeated_id(spark, order):
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(3, x), (5, x), (5, y), (9, y + " y40")]
+    frame = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+    assert {r.component_id for r in ngram_join.jaccard_components(frame).collect()} == {3}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (None, 4)], "a long, b long")
     assert {(r.id, r.component_id) for r in connected_components(edges).collect()} == {(i, 0) for i in range(301)}

@@ -132,14 +132,11 @@ def _scan(n: int, threshold: Fraction, buckets: int):
             rows = []
             ids = np.array([d for d, _ in docs], dtype=np.int64)
             fps = np.array([mix64(h.sum(dtype=np.uint64, keepdims=True) + _U(len(h)))[0] for _, h in docs], dtype=np.uint64)
-            keys, firsts, _, other, root = _first_of_runs(fps, ids)
+            keys, firsts, key, other, root = _first_of_runs(fps, ids)
             rows += _messages(COPY, keys, firsts, buckets)
             serial += 1
             at = (serial * 7919 + len(metas)) % buckets
             if len(other):
-                fp_of = fps[np.flatnonzero(np.isin(ids, other))]
-                by_id = dict(zip(ids[np.isin(ids, other)].tolist(), fp_of.tolist()))
-                key = np.array([by_id[x] for x in other.tolist()], dtype=np.uint64)
                 rows.append((at, SURE, np.stack([other, root, key.view(np.int64)]).tobytes()))
             alone = set(firsts.tolist())
             seen: set[int] = set()

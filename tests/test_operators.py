@@ -1,6 +1,7 @@
 """Operators on small rows made by hand, against plain Python where SQL cannot ask the question."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vialytics.functions import plates as plate_text
 from vialytics.functions.predicates import compare
-from vialytics.operators import evidence, imports, intervals, plates, reconcile, tracks
+from vialytics.operators import evidence, imports, intervals, plates, reconcile, reid, tracks
 from vialytics.plans.compiler import condition
 from vialytics.plans.plan import from_payload, none_of, where
 from vialytics.streaming import stateful
@@ -137,3 +138,24 @@ def test_schema_contract():
     found = StructType([StructField("a", LongType()), StructField("b", StringType()), StructField("c", StringType())])
     wanted = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("d", LongType())])
     assert imports.schema_differences(found, wanted) == [("b", "type"), ("c", "extra"), ("d", "missing")]
+
+
+def test_distribution_counts_far_pairs_too(spark, monkeypatch):
+    monkeypatch.setattr(reid, "PART", 40)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], rng.choice([1, 2, 3, None])) for i in range(300)] + [(300, [0.0] * 8, 1), (301, [float("nan")] + [1.0] * 7, 1), (None, [1.0] * 8, 1)]
+    units = reid.normalized(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    known = {r.vec_id: (r.unit, r.label) for r in units.collect() if r.vec_id is not None and r.vec_id < 300}
+    want = {"same": [], "different": []}
+    for q in range(0, 300, 100):
+        for g in known:
+            if g != q:
+                kind = "same" if known[q][1] is not None and known[q][1] == known[g][1] else "different"
+                want[kind].append(round(sum(x * y for x, y in zip(known[q][0], known[g][0])), 9))
+    got = {r.pairs: r for r in reid.all_pairs_distribution(units.where("vec_id % 100 = 0"), units).collect()}
+    assert sum(r.n for r in got.values()) == 3 * 299
+    for kind, values in want.items():
+        r = got[kind]
+        assert (r.n, r.least, r.most) == (len(values), min(values), max(values))
+        assert (r.mean, r.median) == pytest.approx((statistics.fmean(values), statistics.median(values)), abs=1e-12)
+    assert reid.all_pairs_distribution(units.limit(0), units).count() == 0

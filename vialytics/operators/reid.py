@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,3 +53,94 @@ def distribution(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(same.alias("pairs")).agg(
         F.count("*").alias("n"), F.min("similarity").alias("least"), F.max("similarity").alias("most"), F.avg("similarity").alias("mean"), F.percentile("similarity", 0.5).alias("median")
     )
+
+
+#: Similarities are counted in billionths; a bin holds BIN of them, and a task at most about PART vectors of the gallery.
+UNIT, BIN, PART = 10**9, 50_000, 20_000
+
+
+def _scores(queries: pa.Table, gallery: pa.Table):
+    """(same label, similarities in billionths) of all pairs of two tables, some queries at a time."""
+
+    def columns(t):
+        x = pc.list_flatten(t["unit"]).to_numpy().reshape(len(t), -1)
+        fine = np.isfinite(x).all(axis=1)
+        known = pc.is_valid(t["label"]).to_numpy()
+        return x[fine], t["vec_id"].to_numpy()[fine], pc.fill_null(t["label"], 0).to_numpy()[fine], known[fine]
+
+    if not len(queries) or not len(gallery):
+        return
+    (a, ids, labels, known), (b, other, others, sure) = columns(queries), columns(gallery)
+    for lo in range(0, len(a), 50):
+        s = slice(lo, lo + 50)
+        scored = np.rint(a[s] @ b.T * UNIT).astype(np.int64)
+        same = (labels[s, None] == others) & known[s, None] & sure
+        apart = ids[s, None] != other
+        for kind in (True, False):
+            yield kind, scored[apart & (same == kind)]
+
+
+def all_pairs_distribution(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """distribution() over every pair of a stated set of queries with a gallery; a query does not meet itself.
+
+    Tasks count their pairs in bins, then the similarities inside the bins that hold the middle ranks: exact, and what is
+    sent and gathered is bounded by the number of bins, not by that of pairs. Vectors with non-finite components and
+    pairs of vectors of different lengths have no similarity; unknown labels are different from all.
+    """
+    spark = gallery.sparkSession
+    count = lambda rows, most: max(1, -(-rows.count() // most))
+    blocks, parts = count(queries, BLOCK), max(int(spark.conf.get("spark.sql.shuffle.partitions")), count(gallery, PART))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    cols = [F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "unit", F.size("unit").alias("size")]
+    left = queries.where("vec_id is not null").select(*cols, place(blocks).alias("block"), every(parts).alias("part"))
+    right = gallery.where("vec_id is not null").select(*cols, every(blocks).alias("block"), place(parts).alias("part"))
+    key = ["block", "part", "size"]
+    tasks = left.groupBy(*key).cogroup(right.groupBy(*key))
+
+    def binned(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = []
+        for kind, scored in _scores(a, b):
+            if len(scored):
+                bins, at = np.unique(scored // BIN, return_inverse=True)
+                rest = np.bincount(at, weights=scored % BIN).astype(np.int64)  # of at most 50 rows: exact
+                size = len(bins)
+                rows.append((np.full(size, kind), bins, np.bincount(at), rest, np.full(size, scored.min()), np.full(size, scored.max())))
+        names = ["same", "bin", "n", "rest", "least", "most"]
+        return pa.table([np.concatenate(c) for c in zip(*rows)] if rows else [pa.array([], pa.bool_())] + [pa.array([], pa.int64())] * 5, names=names)
+
+    sums = tasks.applyInArrow(binned, "same boolean, bin long, n long, rest long, least long, most long").groupBy("same", "bin")
+    found: dict[bool, list] = {}
+    for r in sums.agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.min("least").alias("least"), F.max("most").alias("most")).collect():
+        found.setdefault(r.same, []).append(r)
+    middle = {}  # the bins of the two middle ranks, and the ranks inside them
+    for same, rows in found.items():
+        rows.sort(key=lambda r: r.bin)
+        n, before, spots = sum(r.n for r in rows), 0, []
+        for r in rows:
+            spots += [(r.bin, rank - before) for rank in ((n - 1) // 2, n // 2) if before <= rank < before + r.n]
+            before += r.n
+        middle[same] = spots
+    wanted = {same: np.unique([b for b, _ in spots]) for same, spots in middle.items()}
+
+    def inside(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = [(np.full(len(v), kind), v, n) for kind, scored in _scores(a, b) if kind in wanted for v, n in [np.unique(scored[np.isin(scored // BIN, wanted[kind])], return_counts=True)]]
+        return pa.table([np.concatenate(c) for c in zip(*rows)] if rows else [pa.array([], pa.bool_())] + [pa.array([], pa.int64())] * 2, names=["same", "value", "n"])
+
+    values: dict[tuple[bool, int], list] = {}
+    for r in tasks.applyInArrow(inside, "same boolean, value long, n long").groupBy("same", "value").agg(F.sum("n").alias("n")).collect() if found else []:
+        values.setdefault((r.same, r.value // BIN), []).append((r.value, r.n))
+
+    def at(same, spot):
+        rank = spot[1]
+        for value, n in sorted(values[same, spot[0]]):
+            if rank < n:
+                return value
+            rank -= n
+
+    out = []
+    for same, rows in sorted(found.items()):
+        n, total = sum(r.n for r in rows), sum(r.bin * BIN * r.n + r.rest for r in rows)
+        low, high = (at(same, spot) for spot in middle[same])
+        out.append(("same" if same else "different", n, min(r.least for r in rows) / UNIT, max(r.most for r in rows) / UNIT, total / (n * UNIT), (low + high) / (2 * UNIT)))
+    return spark.createDataFrame(out, "pairs string, n long, least double, most double, mean double, median double")

@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
     if name in ORACLE_SQL:
         want = duck.execute(ORACLE_SQL[name])
         assert plain(rows, got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_references_of_all_runs_are_resolved(spark):
+    refs = {r.ref_id for r in QUERIES["import_ref_range_join_all"](spark, SF).collect()}
+    assert refs == {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}

@@ -75,6 +75,21 @@ def import_ref_range_join(spark, sf_dir):
     return imports.resolved(refs, tracks, ["camera_id", "owner"])
 
 
+@query(
+    ALL
+    + """, t as (select run_id, camera_id, owner, track_no, first_seen_seconds as a, first_seen_seconds + 40 as b, status from v), r as (select track_no as ref_id, run_id, camera_id, owner, first_seen_seconds + 20 as f from v),
+    p as (select ref_id, count(*) filter (f between a and b) as around, min(track_no) filter (f between a and b) as x, count(*) filter (status = 'COMPLETED') as done, min(track_no) filter (status = 'COMPLETED') as c, min(track_no) as m
+    from r join t using (run_id, camera_id, owner) group by 1)
+    select ref_id, case when around = 1 then x when done = 1 then c else m end as track_no, case when around = 1 then 'containment' when done = 1 then 'completed' else 'first' end as how from p"""
+)
+def import_ref_range_join_all(spark, sf_dir):
+    rows = vehicle_records(spark, sf_dir)
+    keys = ["run_id", "camera_id", "owner"]
+    tracks = rows.select(*keys, "track_no", F.col("first_seen_seconds").alias("first_frame"), (F.col("first_seen_seconds") + 40).alias("last_frame"), "status")
+    refs = rows.select(F.col("track_no").alias("ref_id"), *keys, (F.col("first_seen_seconds") + 20).alias("frame_number"))
+    return imports.resolved(refs, tracks, keys)
+
+
 def _versions(spark, sf_dir):
     rows = vehicle_records(spark, sf_dir)
     old = rows.where("track_no % 3 <> 0").select("track_no", "run_id", "vehicle_class", F.lit(1).cast("long").alias("created"))

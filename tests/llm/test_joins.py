@@ -7,8 +7,11 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vialytics.llm import metric_join, ngram_join, span_dedup
 from vialytics.llm.common import connected_components
+from vialytics.llm.common import materialize as _materialize
 
 
 def components(nodes, links):
@@ -119,6 +122,37 @@ def test_metric_join_equals_brute_force(spark, monkeypatch):
     assert len(got) == len(rows) and len(links) > 50
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {i: (degree[i], want[i], want[i] == i) for i in want}
     assert metric_join.near_vectors(frame.limit(0)).count() == 0
+    named = frame.selectExpr("vec_id", "embedding", "'label ' || label as label")
+    assert sorted(metric_join.near_vectors(named).collect(), key=str) == sorted(got, key=str)
+
+
+def test_metric_join_judges_repeated_ids_by_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01])]
+    got = metric_join.near_vectors(spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_metric_join_work_grows_less_than_quadratically(spark, monkeypatch):
+    """On directions in three dimensions; in many dimensions no metric partition helps vectors that are all far apart."""
+    monkeypatch.setattr(metric_join, "CELL", 16)
+    work = []
+
+    def watched(df, tag):
+        out = _materialize(df, tag)
+        if tag == "placed":
+            cells = out.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("members"))
+            work.append(cells.selectExpr("sum(homes * members) as w").first().w)
+        return out
+
+    monkeypatch.setattr(metric_join, "materialize", watched)
+    rng = np.random.default_rng(8)
+    for n in (400, 1600):
+        x = rng.normal(size=(n, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        linked = (x @ x.T >= 0.9999).sum(axis=1) - 1
+        assert [r.n_links for r in sorted(metric_join.near_vectors(frame, 0.9999).collect())] == linked.tolist()
+    assert work[1] < 9 * work[0]  # four times the vectors; all pairs would be 16 times
 
 
 def test_metric_join_keeps_links_across_pivots_one_ulp_apart(spark, monkeypatch):
@@ -153,9 +187,13 @@ def test_spans_against_brute_force(spark):
     frame = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, th int, lo int").repartition(3)
     seen = {}
     for i, t in docs:
-        h, lo, hi = span_dedup.runs(span_dedup.sentences(t or ""))
-        for x in zip(h.tolist(), lo.tolist(), hi.tolist()):
-            seen.setdefault(x[0], []).append((span_dedup.NO_ID if i is None else i, x[1], x[2]))
+        parts = [p.lower().split() for p in span_dedup.sentences(t or "")]
+        used = [k for k, w in enumerate(parts) if w]
+        for a in range(len(used)):  # every run, not only the shortest
+            for b in range(a + 1, len(used) + 1):
+                words = [w for k in used[a:b] for w in parts[k]]
+                if len(words) >= (25 if b > a + 1 else 50):
+                    seen.setdefault(" ".join(words), []).append((span_dedup.NO_ID if i is None else i, used[a], used[b - 1] + 1))
     gone = {}
     for spots in seen.values():
         for i, lo, hi in sorted(spots)[1:]:
@@ -182,4 +220,6 @@ def test_spans_against_brute_force(spark):
 def test_runs_cover_a_passage_from_both_ends():
     parts = ["one two three. ", "word " * 60 + ". ", "the tail. "]
     h, lo, hi = span_dedup.runs(parts)
-    assert set(zip(lo.tolist(), hi.tolist())) == {(0, 2), (1, 2), (1, 3)}
+    assert set(zip(lo.tolist(), hi.tolist())) == {(0, 2), (1, 2), (1, 3)} and h.shape == (3, 2)
+    assert span_dedup.sentences("一二三。四五六。 x. y") == ["一二三。", "四五六。 ", "x. ", "y"]
+    assert len(span_dedup.runs(["一二三四五六七八九十" * 2 + "。", "四五六七八九十" * 2 + "。"])[0]) == 1

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +20,12 @@ FOLDS = 5
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Only a local session that names none gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="vialytics-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vialytics-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -34,7 +40,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once everything made from them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def give_back() -> None:
+    """Return memory that this Python worker no longer uses: workers are reused, and an executor's memory is shared."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable, *caches: dict) -> Callable:
+    """run for mapInArrow; when its task ends, the caches are emptied and unused memory is given back."""
+
+    @functools.wraps(run)
+    def task(it):
+        try:
+            yield from run(it)
+        finally:
+            for cache in caches:
+                cache.clear()
+            give_back()
+
+    return task
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that differs from all of `taken`, also in lower case."""
+    low = {c.lower() for c in taken}
+    return next(n for k in range(len(low) + 1) if (n := f"{name}{k}").lower() not in low)
 
 
 def held_out(doc_id) -> F.Column:
@@ -105,7 +150,8 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 40
         # small star: u and its smaller neighbours are hung under the smallest of them
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         down = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
+        last, cur = cur, materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
+        discard(last, low, large, least)
         state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             roots = cur.groupBy("b").agg(F.lit(1).alias("n"))

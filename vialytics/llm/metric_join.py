@@ -1,7 +1,8 @@
 """Embedding near-dedup: an exact metric range join inside each label.
 
-Pivots cut the unit sphere into cells. By the triangle inequality a vector can only reach into another cell if it lies
-close enough to the plane between the two pivots; only there it is replicated. Cells join independently, in blocks.
+Every label gets pivots in proportion to its size, which cut the unit sphere into cells. By the triangle inequality a
+vector can only reach into another cell if it lies close enough to the plane between the two pivots; only there it is
+replicated. Cells join independently, in blocks. Pivots are rows of a table: they travel beside the vectors they place.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import arrow_rows, batches, connected_components, materialize
+from .common import arrow_rows, batches, connected_components, discard, frugal, materialize
 
-CELL = 2000  # vectors of a label for each pivot
-MAX_PIVOTS, ALL_PIVOTS = 128, 4096  # of a label, and of all together: the bound of what the driver gathers and sends
+CELL = 1000  # vectors for each pivot; from CELL squared on, a label of n vectors has sqrt(n) pivots
+PLACE = 20_000  # vectors that one task places among the pivots of their label
 BLOCK = 3000
-_VALID = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("key", pa.binary()), ("vector", pa.binary())])
+_VALID = pa.schema([("vec_id", pa.int64()), ("label", pa.string()), ("key", pa.binary()), ("vector", pa.binary())])
 
 
 def _clean(it):
@@ -45,49 +45,68 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(pivots, reach: float):
-    """(cell, home) for each vector: its nearest pivot's cell, and those whose plane lies within reach."""
-    schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary())])
+_PLACED = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("cid", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary())])
+
+
+def _place(reach: float):
+    """Rows sorted by task, pivots first: (cell, home) for each vector, its nearest pivot's cell and those whose plane lies within reach."""
+
+    def placed(pivots, own, rows):
+        out = []
+        x = _unit([r[4] for r in rows])
+        for lo in range(0, len(rows), 256):
+            cos = x[lo : lo + 256] @ pivots.T
+            nearest = np.argmax(cos, axis=1)
+            for p in np.unique(nearest):
+                # from differences: 2 - 2 cos would lose the distance of pivots that are nearly one vector
+                between = np.linalg.norm(pivots - pivots[p], axis=1)
+                for k in np.flatnonzero(nearest == p).tolist():
+                    label, dim, cid, weight, raw = rows[lo + k]
+                    # distance to the plane between p and q: (cos_p - cos_q) / |p - q|
+                    for q in np.flatnonzero(cos[k, p] - cos[k] - reach * between <= 1e-9).tolist():
+                        out.append((label, dim, own[q], q == p, cid, weight, raw))
+        for lo in range(0, len(out), 2000):
+            yield arrow_rows(_PLACED, **dict(zip(_PLACED.names, zip(*out[lo : lo + 2000]))))
 
     def run(it):
-        # from differences: 2 - 2 cos would lose the distance of pivots that are nearly one vector
-        tables = {k: (u, np.stack([np.linalg.norm(u - p, axis=1) for p in u])) for k, raw in pivots.value.items() for u in [_unit(raw)]}
-        for labels, reps, weights, vectors in batches(it, "label", "rep", "weight", "vector"):
-            out = []
-            for lab, rep, w, raw in zip(labels.to_pylist(), reps.to_pylist(), weights.to_pylist(), vectors.to_pylist()):
-                dim = len(raw) // 8
-                table = tables.get((lab, dim))
-                if table is None:
-                    out.append((lab, dim, 0, True, rep, w, raw))
+        task, raws, own, rows, pivots = None, [], [], [], None
+        for tasks, pivot, *cols in batches(it, "task", "pivot", "label", "dim", "cid", "weight", "vector"):
+            for t, is_pivot, *row in zip(tasks.to_pylist(), pivot.to_pylist(), *(c.to_pylist() for c in cols)):
+                if t != task or len(rows) == 2000:
+                    if rows:
+                        yield from placed(pivots, own, rows)
+                    rows = []
+                    if t != task:
+                        task, raws, own, pivots = t, [], [], None
+                if is_pivot:
+                    raws.append(row[4])
+                    own.append(row[2])
                     continue
-                u, between = table
-                cos = u @ _unit([raw])[0]
-                p = int(np.argmax(cos))
-                margin = cos[p] - cos - reach * between[p]  # distance to the plane between p and q: (cos_p - cos_q) / |p - q|
-                for q in np.flatnonzero(margin <= 1e-9).tolist():
-                    out.append((lab, dim, q, q == p, rep, w, raw))
-            for lo in range(0, len(out), 2000):
-                yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 2000]))))
+                if pivots is None:
+                    pivots = _unit(raws)
+                rows.append(row)
+        if rows:
+            yield from placed(pivots, own, rows)
 
     return run
 
 
-_RESULT = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_RESULT = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _join_blocks(least: float):
     """Rows sorted by task: homes of one block against all of another. Links are counted, and joined into local components."""
 
     def join(rows):
-        side, reps, weights, raw = zip(*rows)
-        side, reps, weights = np.array(side), np.array(reps), np.array(weights)
+        side, cids, weights, raw = zip(*rows)
+        side, cids, weights = np.array(side), np.array(cids), np.array(weights)
         left, right = side == 0, side == 1
         if not left.any() or not right.any():
             return
         x = np.stack([np.frombuffer(r, dtype=np.float64) for r in raw])
         norm = np.linalg.norm(x, axis=1)
         a, b, na, nb = x[left], x[right], norm[left], norm[right]
-        ia, ib, wb = reps[left], reps[right], weights[right]
+        ia, ib, wb = cids[left], cids[right], weights[right]
         linked = np.empty((len(a), len(b)), dtype=bool)
         for lo in range(0, len(a), 512):
             cos = (a[lo : lo + 512] @ b.T) / (na[lo : lo + 512, None] * nb[None, :])
@@ -110,8 +129,8 @@ def _join_blocks(least: float):
 
     def run(it):
         task, rows, out = None, [], []
-        for t, side, reps, weights, raw in batches(it, "task", "side", "rep", "weight", "vector"):
-            for key, *row in zip(t.to_pylist(), side.to_pylist(), reps.to_pylist(), weights.to_pylist(), raw.to_pylist()):
+        for t, side, cids, weights, raw in batches(it, "task", "side", "cid", "weight", "vector"):
+            for key, *row in zip(t.to_pylist(), side.to_pylist(), cids.to_pylist(), weights.to_pylist(), raw.to_pylist()):
                 if key != task:
                     if rows:
                         out += join(rows)
@@ -134,45 +153,49 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     Vectors of equal, non-null labels link when their cosine in double precision is at least `least`. Null ids, labels
     and vectors, vectors with null or non-finite components and zero vectors link with nothing and are components of
     their own (null for a null id, which is never kept). Vectors of different lengths do not link. Rows that are equal up
-    to scale are one class: they count as links of one another. Pivots are a bounded sample (MAX_PIVOTS of a label,
-    ALL_PIVOTS in all); labels without pivots are one cell, which blocks split as any other.
+    to scale are one class: they count as links of one another. Rows that repeat a vec_id with other vectors are judged
+    each by its own vector; component_id is the smallest vec_id among the rows reached. Labels may be of any type, other
+    columns are ignored, and an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialize(cols.mapInArrow(_clean, "vec_id long, label long, key binary, vector binary"), "vectors")
+    cols = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = materialize(cols.mapInArrow(frugal(_clean), "vec_id long, label string, key binary, vector binary"), "vectors")
     good = rows.where("key is not null")
-    reps = good.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"))
-    reps = materialize(reps, "classes")
-    sizes = reps.groupBy("label", F.length("vector").alias("bytes")).agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    wanted = sizes.orderBy(F.desc("n"), "label").limit(ALL_PIVOTS // MAX_PIVOTS).collect()
-    pivots: dict[tuple[int, int], list[bytes]] = {}
-    if wanted:
-        order = Window.partitionBy("label", "bytes").orderBy(F.xxhash64("key"), "key")
-        ranked = reps.withColumn("bytes", F.length("vector")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MAX_PIVOTS)
-        take = {(r.label, r.bytes): min(MAX_PIVOTS, math.ceil(r.n / CELL)) for r in wanted}
-        labels = [r.label for r in wanted]
-        for r in ranked.where(F.col("label").isin(labels)).select("label", "bytes", "place", "vector").collect():
-            if r.place <= take.get((r.label, r.bytes), 0):
-                pivots.setdefault((r.label, r.bytes // 8), []).append(bytes(r.vector))
-    sent = spark.sparkContext.broadcast(pivots)
+    classes = good.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vector").alias("vector"))
+    classes = materialize(classes.select("*", (F.length("vector") / 8).cast("int").alias("dim"), F.monotonically_increasing_id().alias("cid")), "classes")
+    of = ["label", "dim"]
+    sizes = classes.groupBy(*of).agg(F.count("*").alias("n"), F.min("cid").alias("one"))
+    sizes = materialize(sizes.select("*", F.ceil(F.col("n") / F.greatest(F.lit(CELL), F.sqrt("n"))).alias("pivots"), F.ceil(F.col("n") / PLACE).alias("subs")), "label-sizes")
+    sized = classes.join(sizes, of).select(*of, "cid", "weight", "vector", "n", "one", "pivots", "subs")
+    # a random share of each label, by hash: about `pivots` of them but one at least, without ranking a label in one task
+    drawn = F.pmod(F.xxhash64("cid", F.lit(17)), F.lit(1 << 40)) < F.col("pivots") / F.col("n") * float(1 << 40)
+    chosen = sized.where(drawn | (F.col("cid") == F.col("one")))
+    shape = [*of, "cid", "weight", "vector"]
+    beside = chosen.select(*shape, F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(True).alias("pivot"))
+    plain = sized.select(*shape, F.pmod(F.xxhash64("cid"), F.col("subs")).alias("sub"), F.lit(False).alias("pivot"))
+    tasks = plain.unionByName(beside).select(F.xxhash64(*of, "sub").alias("task"), "pivot", *shape)
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
-    placed = reps.select("label", "rep", "weight", "vector").mapInArrow(_assign(sent, reach), "label long, dim int, cell int, home boolean, rep long, weight long, vector binary")
-    placed = materialize(placed, "placed")
-    load = materialize(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "load")
-    blocked = placed.join(load, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cell = ["label", "dim", "cell"]
-    left = blocked.where("home").select(*cell, F.lit(0).alias("side"), "rep", "weight", "vector", F.col("block").alias("i"), F.explode(others).alias("j"))
-    right = blocked.select(*cell, F.lit(1).alias("side"), "rep", "weight", "vector", F.explode(others).alias("i"), F.col("block").alias("j"))
-    tasks = left.unionByName(right).select(F.xxhash64(*cell, "i", "j").alias("task"), "side", "rep", "weight", "vector")
-    joined = tasks.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_join_blocks(least), "rep long, n long, a long, b long")
+    dealt = tasks.repartition(parts, "task").sortWithinPartitions("task", F.desc("pivot"))
+    placed = materialize(dealt.mapInArrow(frugal(_place(reach)), "label string, dim int, cell long, home boolean, cid long, weight long, vector binary"), "placed")
+    cell = [*of, "cell"]
+    load = placed.groupBy(*cell).agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
+    blocked = placed.join(materialize(load, "load"), cell)
+    left_block, right_block = (F.pmod(F.xxhash64("cid"), F.col(c)).cast("int") for c in ("lefts", "rights"))
+    pair = [*cell, "side", "cid", "weight", "vector", "i", "j"]
+    left = blocked.where("home").select("*", F.lit(0).alias("side"), left_block.alias("i"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j"))
+    right = blocked.where("lefts > 0").select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i"), right_block.alias("j"))
+    pairs = left.select(*pair).unionByName(right.select(*pair)).select(F.xxhash64(*cell, "i", "j").alias("task"), "side", "cid", "weight", "vector")
+    joined = pairs.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(frugal(_join_blocks(least)), "cid long, n long, a long, b long")
     joined = materialize(joined, "joined")
-    counts = joined.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
-    component = connected_components(joined.where("a is not null").select("a", "b"), "vector-links")
-    classes = reps.select("label", "key", "rep", "weight").join(counts, "rep", "left").join(component, F.col("rep") == component["id"], "left")
-    classes = materialize(classes.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component_id", "rep").alias("component")), "linked")
-    out = rows.select("vec_id", "label", "key").join(classes, ["label", "key"], "left")
+    discard(placed)
+    counts = joined.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n"))
+    reached = connected_components(joined.where("a is not null").select("a", "b"), "vector-links")
+    named = classes.select("label", "key", "cid", "rep", "weight").join(reached, F.col("cid") == reached["id"], "left")
+    named = materialize(named.select("label", "key", "cid", "rep", "weight", F.coalesce("component_id", "cid").alias("part")), "parts")
+    lowest = named.groupBy("part").agg(F.min("rep").alias("component"))
+    out = named.join(lowest, "part").join(counts, "cid", "left").select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), "component")
+    out = rows.select("vec_id", "label", "key").join(materialize(out, "linked"), ["label", "key"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id",

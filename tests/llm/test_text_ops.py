@@ -14,9 +14,10 @@ from tokenizers import Tokenizer
 
 from vialytics.llm import bpe, exact_dedup, packing, warc
 
+REPEATED = 19
 SCHEMA = "doc_id long, text string, lang string, part string, _sha string"
 ODD = [
-    None, "", " ", "  \n\n x", "a b  c\x1cd\x85e", "it's we'll 123 4,5!!", "<|endoftext|>", "x<|endoftext|> y <|startoftext|>z",
+    None, "", " ", "  \n\n x", "a b  c\x1cd\x85e", "it's we'll 123 4,5!!", "<|endoftext|>", "x<|endoftext|> y <|startoftext|>z", "<|ENDOFTEXT|> a<|StartOfText|>b <|endoftext|>", "<|endoftext|><|ENDOFTEXT|>",
     "é é ﬁ Σας İi", "日本語 テスト", "🙂🙂 a‍b", "\t tab\r\nline\n\n", "a" * 3000, "word " * 9000, "no space" + "é" * 500, "A b\tc", "A  b c", "A b c", "A b c",
 ]
 
@@ -26,7 +27,7 @@ def docs(spark):
     rng = random.Random(3)
     alphabet = "abcé ñ.,\n\t 1'\"-x　ß"
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for _ in range(150)]
-    rows = [(i, t, "en", "p", "s") for i, t in enumerate(texts)] + [(None, "A b c", None, None, None), (17, "A b c", "en", "p", "s"), (None, None, None, None, None)]
+    rows = [(i, t, "en", "p", "s") for i, t in enumerate(texts)] + [(None, "A b c", None, None, None), (REPEATED, "A b c", "en", "p", "s"), (None, None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -38,12 +39,12 @@ def test_bpe_equals_the_library(docs):
     assert sorted(map(tuple, (r.ids for r in coded))) == sorted(tuple(lib.encode(t, add_special_tokens=False).ids) for t in texts)
     back = bpe.decode(bpe.encode(docs, path), path).collect()
     assert sorted(r.text for r in back) == texts
-    for r in bpe.round_trip_digests(docs.where("doc_id <> 17"), path).collect():
-        text = docs.where(f"doc_id = {r.doc_id}").first().text or "" if r.doc_id < 12 else None
-        if text is not None:
-            ids = lib.encode(text, add_special_tokens=False).ids
-            assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-            assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    of = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in bpe.round_trip_digests(docs.where("doc_id is not null"), path).collect():
+        ids = lib.encode(of[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.round_trip_digests(docs.limit(0), path).count() == 0
 
 
 def test_packing_is_gapless_and_whole(docs):
@@ -62,9 +63,20 @@ def test_packing_is_gapless_and_whole(docs):
             assert offset == at
             at += length
         assert at <= packing.SEQUENCE
-    want = {r.doc_id: lib.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect() if r.doc_id not in (None, 17)}
+    want = {r.doc_id: lib.encode(r.text or "", add_special_tokens=False).ids + [2] for r in docs.collect() if r.doc_id not in (None, REPEATED)}
     for i, ids in want.items():
         assert sum((p[1] for p in sorted(whole[i])), []) == ids and {p[2] for p in whole[i]} == {len(ids)}
+    assert packing.pack_documents(docs.limit(0), path).count() == 0
+
+
+def test_packing_deals_equal_rows_to_many_groups(spark):
+    items = spark.range(4000).selectExpr("1 as `_group0`", "'x' as _number", "cast(1000 as long) as length")
+    got = packing.pack(items, group_size=100).collect()
+    assert got[0].asDict().keys() == {"_group0", "_number", "length", "sequence_id", "offset"}
+    groups = {}
+    for r in got:
+        groups[r.sequence_id % 40] = groups.get(r.sequence_id % 40, 0) + 1
+    assert len(groups) == 40 and max(groups.values()) < 200 and len({(r.sequence_id, r.offset) for r in got}) == 4000
 
 
 def test_first_fit_decreasing_equals_a_plain_scan():

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_tokenizer
-from .common import arrow_rows, batches, materialize
+from .common import arrow_rows, batches, fresh, frugal, give_back, materialize
 
 SEQUENCE = 4096
 GROUP_PIECES = 4096
@@ -28,7 +28,8 @@ END_ID = 2
 #: digit is a word of its own to the tokenizer, so a space before it changes nothing and lets words share cache entries.
 CLOSING = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:]+(?:[ \t\n\r\x0b\x0c]|$))")
 PLAIN = re.compile(rb"[a-z]+")
-CACHE_ENTRIES, CACHE_CHARS = 1_200_000, 48
+#: A task's cache of words is emptied at this many bytes (keys and ids, and OVERHEAD for each entry) and when it ends.
+CACHE_BYTES, OVERHEAD, CACHE_CHARS = 96 << 20, 150, 48
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,42 +61,79 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-_WORKER: dict[str, tuple] = {}
+class WordTokenizer:
+    """The library's tokenizer behind a bounded cache of words."""
 
-
-def _tokenizer(source: Broadcast):
-    """(tokenizer, ids that end a word, cache) of this Python worker."""
-    key = hashlib.md5(source.value.encode()).hexdigest()
-    if key not in _WORKER:
+    def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.tok = Tokenizer.from_str(source)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.split_added = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache, self.size = {}, 0
+
+    def words(self, text: str) -> list[bytes]:
+        """The words of a text, ASCII letters in lower case: the tokenizer lowers them anyway, and lowers all others itself.
+
+        Added tokens are found in the text as it is, before anything is lowered; a space in front marks them.
+        """
+        if not any(t in text for t in self.added):
+            return CLOSING.sub(b" ", text.encode().lower()).split()
+        out, at = [], 0
+        for m in self.split_added.finditer(text):
+            out += CLOSING.sub(b" ", text[at : m.start()].encode().lower()).split()
+            out.append(b" " + m[0].encode())
+            at = m.end()
+        return out + CLOSING.sub(b" ", text[at:].encode().lower()).split()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [self.words(t) for t in texts]
+        new = _learn(self, missing) if (missing := set().union(*split).difference(self.cache)) else {}
+        for w, v in new.items():
+            if len(w) <= CACHE_CHARS:
+                self.cache[w] = v
+                self.size += len(w) + len(v) + OVERHEAD
+        get = self.cache.get
+        out = [b"".join([v if (v := get(w)) is not None else new[w] for w in ws]) for ws in split]
+        if self.size >= CACHE_BYTES:
+            self.clear()
+        return out
+
+
+_WORKER: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(source: Broadcast) -> WordTokenizer:
+    """One tokenizer for each Python worker."""
+    key = hashlib.md5(source.value.encode()).hexdigest()
+    if key not in _WORKER:
         _WORKER.clear()
-        tok = Tokenizer.from_str(source.value)
-        tok.no_truncation()
-        tok.no_padding()
-        vocab = tok.get_vocab()
-        ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        _WORKER[key] = (tok, ends, {})
+        _WORKER[key] = WordTokenizer(source.value)
     return _WORKER[key]
 
 
-def _words(text: str) -> list[bytes]:
-    """The words of a text, ASCII letters in lower case: the tokenizer lowers them anyway, and lowers all others itself."""
-    return CLOSING.sub(b" ", text.encode().lower()).split()
-
-
-def _learn(tok, ends: np.ndarray, cache: dict[bytes, bytes], words: set[bytes]) -> dict[bytes, bytes]:
-    """The ids of words not in the cache, as little-endian unsigned 32-bit integers; short ones are kept for later.
+def _learn(own: WordTokenizer, words: set[bytes]) -> dict[bytes, bytes]:
+    """The ids of words not in the cache.
 
     Words of ASCII letters are one pre-token each, so many are encoded as one text and cut behind ids that end a word.
+    Words that only lowering made look like an added token go to the tokenizer in upper case, which it lowers itself.
     """
-    if len(cache) + len(words) > CACHE_ENTRIES:
-        cache.clear()
+    tok, ends = own.tok, own.ends
     plain = [w for w in words if PLAIN.fullmatch(w)]
-    rest = [w for w in words if not PLAIN.fullmatch(w)]
-    new = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(rest, tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))}
+    new = {w: own.added[w[1:].decode()] for w in words if w[:1] == b" "}
+    rest = [w for w in words if w[:1] != b" " and not PLAIN.fullmatch(w)]
+    sent = [w.upper().decode() if own.split_added.search(w.decode()) else w.decode() for w in rest]
+    new.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, tok.encode_batch_fast(sent, add_special_tokens=False)))
     if plain:
         ids = np.array(tok.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         cut = (np.flatnonzero(ends[ids]) + 1).tolist()
@@ -103,22 +141,9 @@ def _learn(tok, ends: np.ndarray, cache: dict[bytes, bytes], words: set[bytes])
             raise ValueError("a word of letters is not one pre-token of this tokenizer")
         raw = ids.tobytes()
         new.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(plain, [0, *cut], cut))
-    cache.update((w, v) for w, v in new.items() if len(w) <= CACHE_CHARS)
     return new
 
 
-def _encoded(tok, ends, cache, texts: list[str]) -> list[bytes]:
-    """The ids of each text."""
-    split = [_words(t) for t in texts]
-    missing = set().union(*split).difference(cache)
-    if not missing:
-        return [b"".join([cache[w] for w in ws]) for ws in split]
-    old = {} if len(cache) + len(missing) <= CACHE_ENTRIES else {w: cache[w] for w in set().union(*split) if w in cache}
-    new = _learn(tok, ends, cache, missing)
-    get = cache.get
-    return [b"".join([v if (v := get(w)) is not None else new[w] if w in new else old[w] for w in ws]) for ws in split]
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each row's ids and end_id, cut every `length` ids.
 
@@ -130,39 +155,48 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it):
-        tok, ends, cache = _tokenizer(source)
+        own = _tokenizer(source)
         for ids, texts in batches(it, "doc_id", "text"):
             for lo in range(0, len(texts), 64):
                 out, part = [], texts.slice(lo, 64).to_pylist()
-                for i, raw in zip(ids.slice(lo, 64).to_pylist(), _encoded(tok, ends, cache, [t or "" for t in part])):
+                for i, raw in zip(ids.slice(lo, 64).to_pylist(), own.encoded([t or "" for t in part])):
                     raw += end
                     for at in range(0, len(raw), 4 * length):
                         cut = raw[at : at + 4 * length]
                         out.append((i, at // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4, cut)[: len(schema)])
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out))))
 
+    def task(it):
+        try:
+            yield from run(it)
+        finally:
+            _tokenizer(source).clear()  # the tokenizer stays, its cache does not
+
     cols = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    return cols.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return cols.mapInArrow(frugal(task), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def pack(items: DataFrame, length: int = SEQUENCE, group_size: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
     """items (a table with a long column `length`) and for each row sequence_id and offset.
 
-    Rows are dealt to ceil(rows / group_size) random groups, so that a group never grows with the input; sequence ids
-    are unique, and offsets fill each sequence without gaps. Equal rows are packed each on its own.
+    Rows are dealt by their number, hashed, to ceil(rows / group_size) random groups, so that a group grows neither with
+    the input nor with rows that repeat; sequence ids are unique, and offsets fill each sequence without gaps. Equal rows
+    are packed each on its own, an empty table gives an empty result, and items may have columns of any other name.
     """
-    items = materialize(items, "pieces")
-    groups = max(1, -(-items.count() // group_size))
+    number, group = fresh("_number", items.columns), fresh("_group", items.columns)
     cols = items.columns
+    numbered = materialize(items.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    groups = max(1, -(-numbered.count() // group_size))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(dtype=np.int64), length)
-        out = pdf.assign(sequence_id=bins * groups + pdf["_group"], offset=offsets)
-        return out[[*cols, "sequence_id", "offset"]]
+        out = pdf[cols].assign(sequence_id=bins * groups + pdf[group], offset=offsets)
+        give_back()
+        return out
 
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(groups)))
+    dealt = numbered.withColumn(group, F.pmod(F.xxhash64(number, F.lit(seed)), F.lit(groups))).drop(number)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return dealt.groupBy("_group").applyInPandas(run, schema + ", sequence_id long, offset long")
+    return dealt.groupBy(group).applyInPandas(run, schema + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:

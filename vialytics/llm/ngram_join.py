@@ -6,8 +6,8 @@
 2. Documents that signatures connect form candidate cells; every link lies inside one cell.
 3. In a cell the sets, ordered by global frequency in the cell, are stored in a trie. A probe walks it once, shares the
    overlap of common prefixes, and prunes a subtree when even its whole rest could not reach the threshold.
-   Of large cells only sets whose n-grams are shared often enough to link at all go on; those are contracted around
-   leaders and what remains is joined block by block.
+   Of large cells only sets whose n-grams are shared often enough to link at all go on. They probe tries of a few leaders
+   first; sets that leaders left apart meet in tries of blocks of like sizes.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, batches, connected_components, local_forest, materialize, mix64
+from .common import arrow_rows, batches, connected_components, discard, frugal, local_forest, materialize, mix64
 
 CELL = 1500
 LEADERS = 16
@@ -34,9 +35,10 @@ _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
 SIGNATURE, COPY, CANDIDATE, META, SURE = range(5)
 OPEN, SHARED, COUNTED = range(3)
 _COUNT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
-#: While the table of candidates is at most this large, Spark may filter texts with a Bloom filter (of 8 MB at most)
-#: before it sends them to their cells; beyond it, every text is sent once.
-FILTER_BYTES = 256 << 20
+#: Owners for each task: a task holds the messages of one owner at a time.
+OWNERS = 8
+#: Bits of the filter that spares documents without candidates the way to the cells: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -125,7 +127,7 @@ def _scan(n: int, threshold: Fraction, buckets: int):
         bands = Bands(threshold)
         docs: list[tuple[int, np.ndarray]] = []
         metas: list[tuple[int, int]] = []
-        size = serial = 0
+        size, serial = 0, TaskContext.get().partitionId() * 31
 
         def flush():
             nonlocal serial
@@ -135,7 +137,7 @@ def _scan(n: int, threshold: Fraction, buckets: int):
             keys, firsts, key, other, root = _first_of_runs(fps, ids)
             rows += _messages(COPY, keys, firsts, buckets)
             serial += 1
-            at = (serial * 7919 + len(metas)) % buckets
+            at = serial % buckets
             if len(other):
                 rows.append((at, SURE, np.stack([other, root, key.view(np.int64)]).tobytes()))
             alone = set(firsts.tolist())
@@ -176,12 +178,22 @@ def _scan(n: int, threshold: Fraction, buckets: int):
     return run
 
 
+def _by_owner(it):
+    """(owner, {kind: payloads}) for messages sorted by owner."""
+    owner, got = None, {}
+    for buckets, kinds, payloads in batches(it, "bucket", "kind", "payload"):
+        for bucket, k, p in zip(buckets.to_pylist(), kinds.to_pylist(), payloads):
+            if bucket != owner:
+                if got:
+                    yield owner, got
+                owner, got = bucket, {}
+            got.setdefault(k, []).append(p.as_py())
+    if got:
+        yield owner, got
+
+
 def _own(it):
     """What meets at one owner: copies and candidates as links to the smallest id, the rest passed on."""
-    got = {k: [] for k in range(5)}
-    for kinds, payloads in batches(it, "kind", "payload"):
-        for k, p in zip(kinds.to_pylist(), payloads):
-            got[k].append(p.as_py())
 
     def rows(kind, a, b, c=None, valid=None):
         for lo in range(0, len(a), 50_000):
@@ -189,22 +201,30 @@ def _own(it):
             left = pa.array(a[s], mask=None if valid is None else ~valid[s])
             yield arrow_rows(_FOUND, kind=np.full(len(b[s]), kind, dtype=np.int32), a=left, b=b[s], c=np.zeros(len(b[s]), dtype=np.int64) if c is None else c[s])
 
-    if got[META]:
-        ids, n = np.concatenate([np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.pop(META)], axis=1)
-        yield from rows(META, ids, np.where(n < 0, -1 - n, n), valid=n >= 0)
-    for p in got.pop(SURE):
-        yield from rows(SURE, *np.frombuffer(p, dtype=np.int64).reshape(3, -1))
-    if got[COPY]:
-        keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got.pop(COPY))))
-        _, _, key, other, root = _first_of_runs(keys, ids)
-        yield from rows(SURE, other, root, key.view(np.int64))
-    pairs = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.pop(CANDIDATE)]
-    if got[SIGNATURE]:
-        keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got.pop(SIGNATURE))))
-        _, _, _, other, root = _first_of_runs(keys, ids)
-        pairs.append(np.stack([other, root]))
-    if pairs:
-        yield from rows(CANDIDATE, *local_forest(*np.concatenate(pairs, axis=1)))
+    for _, got in _by_owner(it):
+        for p in got.pop(META, ()):
+            ids, n = np.frombuffer(p, dtype=np.int64).reshape(2, -1)
+            yield from rows(META, ids, np.where(n < 0, -1 - n, n), valid=n >= 0)
+        for p in got.pop(SURE, ()):
+            yield from rows(SURE, *np.frombuffer(p, dtype=np.int64).reshape(3, -1))
+        if COPY in got:
+            keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got.pop(COPY))))
+            _, _, key, other, root = _first_of_runs(keys, ids)
+            yield from rows(SURE, other, root, key.view(np.int64))
+        pairs = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.pop(CANDIDATE, ())]
+        if SIGNATURE in got:
+            keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got.pop(SIGNATURE))))
+            _, _, _, other, root = _first_of_runs(keys, ids)
+            pairs.append(np.stack([other, root]))
+        if pairs:
+            yield from rows(CANDIDATE, *local_forest(*np.concatenate(pairs, axis=1)))
+
+
+def _exchange(rows: DataFrame, scan, own, schema: str) -> DataFrame:
+    """scan sends messages to owners, own reads those of each owner in turn."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.mapInArrow(frugal(scan(OWNERS * parts)), "bucket int, kind int, payload binary")
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(own), schema)
 
 
 class _Node:
@@ -332,21 +352,21 @@ def _join_cells(threshold: Fraction):
 def _tries(tasks: DataFrame, threshold: Fraction) -> DataFrame:
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.select("task", "side", "doc_id", "home", "grams").repartition(parts, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(_join_cells(threshold), "a long, b long")
+    return dealt.mapInArrow(frugal(_join_cells(threshold)), "a long, b long")
 
 
 def _scan_shared(buckets: int):
     """Sends each n-gram of a cell once from every chunk; n-grams that sets of one chunk share are counted at once."""
 
     def run(it):
-        keys, ids, size, serial = [], [], 0, 0
+        keys, ids, size, serial = [], [], 0, TaskContext.get().partitionId() * 31
 
         def flush():
             head, first, again, other, _ = _first_of_runs(np.concatenate(keys), np.concatenate(ids))
             known = np.isin(head, again)
             rows = [*_messages(OPEN, head[~known], first[~known], buckets), *_messages(SHARED, head[known], first[known], buckets)]
             if len(other):
-                rows.append((serial * 7919 % buckets, COUNTED, np.stack(np.unique(np.concatenate([other, first[known]]), return_counts=True)).tobytes()))
+                rows.append((serial % buckets, COUNTED, np.stack(np.unique(np.concatenate([other, first[known]]), return_counts=True)).tobytes()))
             for lo in range(0, len(rows), 64):
                 o, k, p = zip(*rows[lo : lo + 64])
                 yield arrow_rows(_MESSAGE, bucket=o, kind=k, payload=p)
@@ -369,89 +389,96 @@ def _scan_shared(buckets: int):
 
 def _own_shared(it):
     """(doc_id, number of its n-grams owned here that another set of its cell has too)."""
-    got = {k: [] for k in range(3)}
-    for kinds, payloads in batches(it, "kind", "payload"):
-        for k, p in zip(kinds.to_pylist(), payloads):
-            got[k].append(p.as_py())
-    counts = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got[COUNTED]]
-    if got[OPEN]:
-        keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got[OPEN])))
-        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-        more = times[inverse] > 1
-        if got[SHARED]:
-            more |= np.isin(keys, np.concatenate([_read_message(p)[0] for p in got[SHARED]]))
-        counts.append(np.stack(np.unique(ids[more], return_counts=True)))
-    for ids, n in counts:
-        for lo in range(0, len(ids), 50_000):
-            yield arrow_rows(_COUNT, doc_id=ids[lo : lo + 50_000], n=n[lo : lo + 50_000])
+    for _, got in _by_owner(it):
+        counts = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.get(COUNTED, ())]
+        if OPEN in got:
+            keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got[OPEN])))
+            _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
+            more = times[inverse] > 1
+            if SHARED in got:
+                more |= np.isin(keys, np.concatenate([_read_message(p)[0] for p in got[SHARED]]))
+            counts.append(np.stack(np.unique(ids[more], return_counts=True)))
+        for ids, n in counts:
+            for lo in range(0, len(ids), 50_000):
+                yield arrow_rows(_COUNT, doc_id=ids[lo : lo + 50_000], n=n[lo : lo + 50_000])
 
 
 def _linkable(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The sets that may link: a link needs threshold of a set's own n-grams in other sets of its cell."""
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = sets.select("cell", "doc_id", "grams").mapInArrow(_scan_shared(4 * parts), "bucket int, kind int, payload binary")
-    count = sent.repartition(parts, "bucket").mapInArrow(_own_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    count = _exchange(sets.select("cell", "doc_id", "grams"), _scan_shared, _own_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
     enough = F.col("n") * threshold.denominator * 8 >= F.length("grams") * threshold.numerator
-    return sets.join(materialize(count, "shared-grams"), "doc_id").where(enough).select("cell", "doc_id", "grams")
+    count = materialize(count, "shared-grams")
+    kept = materialize(sets.join(count, "doc_id").where(enough).select("cell", "doc_id", "grams"), "linkable")
+    discard(count)
+    return kept
+
+
+def _member_filter(members: DataFrame):
+    """A bitmap of FILTER_BITS hashed ids of members, gathered in pieces of 4 kB that Spark makes; its size never grows."""
+    bit = (F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1).alias("bit")  # Spark numbers bits from 1
+    pieces = members.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8 + 4096, dtype=np.uint8)
+    for r in pieces.collect():
+        at = (r.piece - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return members.sparkSession.sparkContext.broadcast(out)
+
 
+_ROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _may_be_members(bits):
+    """The texts of documents that the filter lets through: all that have candidates, and few others."""
+
+    def run(it):
+        for ids, texts, bit in batches(it, "doc_id", "text", "bit"):
+            at = bit.to_numpy()
+            yield pa.RecordBatch.from_arrays([ids, texts], schema=_ROW).filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
-def _filtered_join(texts: DataFrame, members: DataFrame, tag: str, expand, schema: str) -> DataFrame:
-    """expand over the join of texts with members, written as a table; Spark's runtime filter is allowed at any size of texts."""
-    conf = texts.sparkSession.conf
-    names = ("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold")
-    before = [conf.get(name) for name in names]
-    try:
-        for name, value in zip(names, ("0", str(FILTER_BYTES))):
-            conf.set(name, value)
-        found = texts.join(members.where("size > 1"), texts["doc_id"] == members["id"])
-        return materialize(found.select("doc_id", "text", "cell", "copied", "size").mapInArrow(expand, schema), tag)
-    finally:
-        for name, value in zip(names, before):
-            conf.set(name, value)
+    return run
 
 
 def _contract_large(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Links inside cells of more than CELL sets: leaders first, then the blocks that leaders left apart."""
-    num, den = threshold.numerator, threshold.denominator
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = sets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
-    leaders = materialize(few.groupBy("cell").agg(F.collect_list(F.struct("doc_id", "grams")).alias("leaders")), "leaders")
-
-    def compare(it):
-        for ids, grams, heads in batches(it, "doc_id", "grams", "leaders"):
-            a, b = [], []
-            for d, g, hs in zip(ids.to_pylist(), grams, heads):
-                x = np.frombuffer(g.as_py(), dtype=np.uint64)
-                for h in hs.as_py():
-                    y = np.frombuffer(h["grams"], dtype=np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if den * both >= num * (len(x) + len(y) - both) and h["doc_id"] != d:
-                        a.append(d)
-                        b.append(h["doc_id"])
-            yield arrow_rows(_LINK, a=a, b=b)
+    """Links inside cells of more than CELL sets: tries of leaders first, then of blocks that leaders left apart.
 
-    near = materialize(sets.join(leaders, "cell").select("doc_id", "grams", "leaders").mapInArrow(compare, "a long, b long"), "near-leaders")
+    A block holds sets of one size class; only blocks of the same or neighbouring classes can link and meet.
+    """
+    subs = materialize(sets.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("subs")), "subs")
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id")
+    leaders = materialize(sets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS).drop("place"), "leaders")
+    led = leaders.join(subs, "cell").select("cell", "doc_id", "grams", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(2).alias("side"))
+    probing = sets.join(subs, "cell").select("cell", "doc_id", "grams", F.pmod(F.xxhash64("doc_id"), F.col("subs")).alias("sub"), F.lit(1).alias("side"))
+    rows = probing.unionByName(led).select(F.xxhash64("cell", "sub").alias("task"), "side", "doc_id", F.col("doc_id").alias("home"), "grams")
+    near = materialize(_tries(rows, threshold), "near-leaders")
     home = materialize(connected_components(near, "homes"), "homes")
-    homed = sets.join(home, sets["doc_id"] == home["id"], "left").select("cell", "doc_id", "grams", F.coalesce("component_id", "doc_id").alias("home"))
+    # a little wider than a link's ratio of sizes, so that rounding cannot put linked sets two bands apart
+    bands = F.floor(F.log(F.length("grams") / 8) / float(1.001 * np.log(threshold.denominator / threshold.numerator)))
+    homed = sets.join(home, sets["doc_id"] == home["id"], "left").select("cell", "doc_id", "grams", F.coalesce("component_id", "doc_id").alias("home"), bands.alias("band"))
     homed = materialize(homed, "homed")
-    count = homed.groupBy("cell", "home").agg(F.count("*").alias("n"))
-    total = count.groupBy("cell").agg(F.count("*").alias("homes"), F.sum(F.when(F.col("n") <= CELL, F.col("n"))).alias("rest"))
-    open_cells = materialize(count.join(total, "cell").where("homes > 1").select("cell", "home", "n", "rest"), "open")
-    block = (
-        F.when(F.col("n") > CELL, F.struct(F.col("home").alias("pure"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / CELL)).alias("sub")))
-        .otherwise(F.struct(F.lit(None).cast("long").alias("pure"), F.pmod(F.xxhash64("home"), F.ceil(F.col("rest") / CELL)).alias("sub")))
+    count = homed.groupBy("cell").agg(F.count_distinct("home").alias("homes"))
+    open_cells = materialize(count.where("homes > 1").select("cell"), "open")
+    apart = homed.join(open_cells, "cell", "left_semi")
+    in_home = materialize(apart.groupBy("cell", "band", "home").agg(F.count("*").alias("n")), "in-home")
+    rest = in_home.groupBy("cell", "band").agg(F.sum(F.when(F.col("n") <= CELL, F.col("n"))).alias("rest"))
+    load = in_home.join(rest, ["cell", "band"])
+    block = F.when(F.col("n") > CELL, F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / CELL)))).otherwise(F.pmod(F.xxhash64("home"), F.ceil(F.col("rest") / CELL)))
+    placed = apart.join(load, ["cell", "band", "home"]).select("cell", "doc_id", "home", "grams", "band", block.alias("block"))
+    placed = materialize(placed, "placed")
+    blocks = materialize(placed.groupBy("cell", "band", "block").agg(F.min("home").alias("low"), F.max("home").alias("high")), "blocks")
+    left, right = (blocks.select("cell", *(F.col(c).alias(f"{c}_{k}") for c in ("band", "block", "low", "high"))) for k in "xy")
+    ordered = (F.col("band_x") < F.col("band_y")) | ((F.col("band_x") == F.col("band_y")) & (F.col("block_x") <= F.col("block_y")))
+    one_home = (F.least("low_x", "low_y") == F.greatest("high_x", "high_y"))  # all of both are connected already
+    near_size = F.explode(F.sequence(F.col("band_x"), F.col("band_x") + 1))
+    pairs = left.withColumn("band_y", near_size).join(right, ["cell", "band_y"]).where(ordered & ~one_home)
+    pairs = materialize(pairs.withColumn("task", F.xxhash64("cell", "band_x", "block_x", "band_y", "block_y")), "block-pairs")
+    same = (F.col("band_x") == F.col("band_y")) & (F.col("block_x") == F.col("block_y"))
+    sides = pairs.select("cell", "task", F.col("band_x").alias("band"), F.col("block_x").alias("block"), F.when(same, 0).otherwise(1).alias("side")).unionByName(
+        pairs.where(~same).select("cell", "task", F.col("band_y").alias("band"), F.col("block_y").alias("block"), F.lit(2).alias("side"))
     )
-    placed = materialize(homed.join(open_cells, ["cell", "home"]).withColumn("block", block).select("cell", "doc_id", "home", "grams", "block"), "placed")
-    blocks = materialize(placed.select("cell", "block").distinct(), "blocks")
-    left, right = blocks.select("cell", F.col("block").alias("x")), blocks.select("cell", F.col("block").alias("y"))
-    same_home = F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))
-    apart = left.join(right, "cell").where((F.col("x") <= F.col("y")) & ~same_home)
-    pairs = materialize(apart.withColumn("task", F.xxhash64("cell", "x", "y")), "block-pairs")
-    sides = pairs.select("cell", "task", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 0).otherwise(1).alias("side")).unionByName(
-        pairs.where("x <> y").select("cell", "task", F.col("y").alias("block"), F.lit(2).alias("side"))
-    )
-    dealt = placed.join(materialize(sides, "sides"), ["cell", "block"])
-    return near.unionByName(_tries(dealt, threshold))
+    dealt = placed.join(materialize(sides, "sides"), ["cell", "band", "block"])
+    far = materialize(_tries(dealt, threshold), "far-links")
+    discard(leaders, homed, placed)
+    return near.unionByName(far)
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.8") -> DataFrame:
@@ -462,11 +489,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
     component_id. Rows that repeat a doc_id are one node. Every other column is ignored.
     """
     t = Fraction(str(threshold))
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = cols.mapInArrow(_scan(n, t, 4 * parts), "bucket int, kind int, payload binary")
-    found = materialize(sent.repartition(parts, "bucket").mapInArrow(_own, "kind int, a long, b long, c long"), "found")
+    found = _exchange(cols, lambda buckets: _scan(n, t, buckets), _own, "kind int, a long, b long, c long")
+    found = materialize(found, "found")
     sure = found.where(F.col("kind") == SURE)
     edges = found.where(F.col("kind").isin(SURE, CANDIDATE)).select("a", "b")
     cells = connected_components(edges, "cells")
@@ -489,17 +514,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
             for lo in range(0, len(out), 500):
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 500]))))
 
-    sets = _filtered_join(cols, members, "sets", expand, "cell long, size long, doc_id long, grams binary")
+    held = _member_filter(members)
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
+    texts = cols.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(frugal(_may_be_members(held)), "doc_id long, text string")
+    joined = texts.join(members, texts["doc_id"] == members["id"]).select("doc_id", "text", "cell", "copied", "size")
+    sets = materialize(joined.mapInArrow(frugal(expand), "cell long, size long, doc_id long, grams binary"), "sets")
+    held.destroy()
     small = sets.where(F.col("size") <= CELL).drop("size")
     large = sets.where(F.col("size") > CELL)
+    unlinked = []
     if large.limit(1).count():
-        kept = materialize(_linkable(large, t), "linkable")
+        kept = _linkable(large, t)
         sizes = materialize(kept.groupBy("cell").agg(F.count("*").alias("size")), "sizes")
         small = small.unionByName(kept.join(sizes.where(F.col("size").between(2, CELL)), "cell").drop("size"))
-        large = kept.join(sizes.where(F.col("size") > CELL), "cell").drop("size")
-    links = _tries(small.select(F.col("cell").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("home"), "grams"), t)
-    if large.limit(1).count():
-        links = links.unionByName(_contract_large(materialize(large, "large-cells"), t))
+        large = materialize(kept.join(sizes.where(F.col("size") > CELL), "cell").drop("size"), "large-cells")
+        unlinked = [kept, large]
+    links = materialize(_tries(small.select(F.col("cell").alias("task"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("home"), "grams"), t), "small-links")
+    if unlinked and large.limit(1).count():
+        links = links.unionByName(_contract_large(large, t))
+    discard(sets, *unlinked)
     component = connected_components(links.unionByName(sure.select("a", "b")), "links")
     component = materialize(component, "components")
     meta = found.where(F.col("kind") == META).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
@@ -508,7 +541,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: str | float = "0.8") -> DataFrame:
-    """The rows of docs that stay: of each group of linked documents the one with the smallest id, and all without links."""
+    """The rows of docs that stay: of each group of linked documents the one with the smallest id, and all without links.
+
+    Rows with a null doc_id or an empty text stay, rows that repeat an id stay or go together; all columns are kept.
+    """
     joined = jaccard_components(docs, n, threshold)
     gone = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(gone, "gone")

@@ -24,16 +24,14 @@ def without_repeats(docs, least=25):
         words = [p.lower().split() for p in parts]
         used = [k for k, w in enumerate(words) if w]
         spans = set()
-        for a in range(len(used)):
+        for a in range(len(used)):  # every run of several sentences, or of one long one
+            n = 0
             for b in range(a, len(used)):
-                if sum(len(words[k]) for k in used[a : b + 1]) >= least:
+                n += len(words[used[b]])
+                if n >= (least if b > a else 2 * least):
                     spans.add((a, b))
-                    break
-        for b in range(len(used)):
-            for a in range(b, -1, -1):
-                if sum(len(words[k]) for k in used[a : b + 1]) >= least:
-                    spans.add((a, b))
-                    break
+                    if b > a and n >= 4 * least:
+                        break
         for a, b in sorted(spans):
             key = " ".join(w for k in used[a : b + 1] for w in words[k])
             occurrences.setdefault(key, []).append((i, used[a], used[b]))

@@ -1,7 +1,9 @@
 """Substring dedup with sliding sentence spans.
 
-From every sentence the shortest run of consecutive sentences with at least RUN_WORDS words is hashed, forwards and
-backwards. Runs meet by hash over the whole corpus, and the sentences that any occurrence but the first covers go.
+A run is several consecutive sentences with at least RUN_WORDS words together, or one sentence of twice as many. Runs
+are hashed to 128 bits, meet by hash over the whole corpus, and the sentences that any occurrence but the first covers
+go. Only the shortest runs from each sentence forwards and backwards are sent: every longer run is a union of those
+inside it, and where it repeats an earlier run so do they.
 """
 
 from __future__ import annotations
@@ -12,20 +14,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, batches, materialize
+from .common import arrow_rows, batches, frugal, give_back, materialize
 
-RUN_WORDS = 25
+RUN_SENTENCES, RUN_WORDS = 2, 25
 FLUSH_RUNS = 150_000
-#: A sentence ends after closing punctuation with white space behind it, or at a line's end.
-ENDS = re.compile(r"[.!?]+[\"')\]]*\s+|\n+")
+#: Owners for each task: a task holds the runs of one owner at a time.
+OWNERS = 8
+#: A sentence ends after closing punctuation with white space behind it (none behind full-width stops), or at a line's end.
+ENDS = re.compile(r"[.!?]+[\"')\]]*\s+|[。！？．]+[”’」』）]*\s*|\n+")
+#: Scripts without spaces between words: each of their characters counts as a word.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 #: Stands for a null id, so that documents without an id come last.
 NO_ID = (1 << 63) - 1
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _GONE = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-_RUN = np.dtype([("hash", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+_RUN = np.dtype([("hash", "<u8"), ("more", "<u8"), ("id", "<i8"), ("th", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 RUNS, REPEATED = 0, 1
 
 
@@ -38,30 +45,32 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str], least: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first sentence, sentence behind the last) of each run; words compare in lower case, white space does not count."""
+    """(hashes (n, 2), first sentence, sentence behind the last) of each run; words compare in lower case, white space does not count."""
     words = [p.lower().split() for p in parts]
     used = [i for i, w in enumerate(words) if w]
     if not used:
-        return (np.zeros(0, dtype=np.uint64),) + (np.zeros(0, dtype=np.int32),) * 2
+        return (np.zeros((0, 2), dtype=np.uint64),) + (np.zeros(0, dtype=np.int32),) * 2
     joined = [" ".join(words[i]) for i in used]
-    total = np.concatenate([[0], np.cumsum([len(words[i]) for i in used])])
+    count = np.array([len(words[i]) + (len(UNSPACED.findall(x)) if not x.isascii() else 0) for i, x in zip(used, joined)])
+    total = np.concatenate([[0], np.cumsum(count)])
     n = len(used)
-    forward = np.searchsorted(total, total[:-1] + least)  # runs [i, forward[i]) are the shortest with enough words
-    backward = np.searchsorted(total, total[1:] - least, side="right") - 1
     i = np.arange(n)
-    spans = np.concatenate([np.stack([i, forward])[:, forward <= n], np.stack([backward, i + 1])[:, backward >= 0]], axis=1)
+    forward = np.maximum(np.searchsorted(total, total[:-1] + least), i + RUN_SENTENCES)  # the shortest runs from i are [i, forward[i])
+    backward = np.minimum(np.searchsorted(total, total[1:] - least, side="right") - 1, i + 1 - RUN_SENTENCES)
+    lone = np.flatnonzero(count >= 2 * least)
+    spans = np.concatenate([np.stack([i, forward])[:, forward <= n], np.stack([backward, i + 1])[:, backward >= 0], np.stack([lone, lone + 1])], axis=1)
     spans = np.unique(spans, axis=1) if spans.shape[1] else spans
     place = np.array([*used, len(parts)], dtype=np.int32)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(" ".join(joined[a:b])) for a, b in spans.T.tolist()), dtype=np.uint64, count=spans.shape[1])
-    return hashes, place[spans[0]], place[spans[1] - 1] + np.int32(1)
+    digests = b"".join([xxhash.xxh3_128_digest(" ".join(joined[a:b])) for a, b in spans.T.tolist()])
+    return np.frombuffer(digests, dtype="<u8").reshape(-1, 2), place[spans[0]], place[spans[1] - 1] + np.int32(1)
 
 
 def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the first occurrence of each hash, the others); first is the smallest (id, text hash, place)."""
-    rows = rows[np.lexsort((rows["lo"], rows["th"], rows["id"], rows["hash"]))]
+    rows = rows[np.lexsort((rows["lo"], rows["th"], rows["id"], rows["more"], rows["hash"]))]
     if not len(rows):
         return rows, rows
-    head = np.concatenate([[True], rows["hash"][1:] != rows["hash"][:-1]])
+    head = np.concatenate([[True], (rows["hash"][1:] != rows["hash"][:-1]) | (rows["more"][1:] != rows["more"][:-1])])
     firsts = rows[head][np.cumsum(head) - 1]
     same = (firsts["id"] == rows["id"]) & (firsts["th"] == rows["th"]) & (firsts["lo"] == rows["lo"])  # a repeated row
     return rows[head], rows[~head & ~same]
@@ -69,7 +78,7 @@ def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _scan(buckets: int, least: int):
     def run(it):
-        held, size, serial = [], 0, 0
+        held, size, serial = [], 0, TaskContext.get().partitionId() * 31
 
         def flush():
             nonlocal serial
@@ -79,7 +88,7 @@ def _scan(buckets: int, least: int):
             rows = [(int(owner[a]), RUNS, first[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
             serial += 1
             if len(again):
-                rows.append((serial * 7919 % buckets, REPEATED, again.tobytes()))
+                rows.append((serial % buckets, REPEATED, again.tobytes()))
             for lo in range(0, len(rows), 64):
                 o, k, p = zip(*rows[lo : lo + 64])
                 yield arrow_rows(_MESSAGE, bucket=o, kind=k, payload=p)
@@ -90,7 +99,7 @@ def _scan(buckets: int, least: int):
                 if not len(h):
                     continue
                 rows = np.empty(len(h), dtype=_RUN)
-                rows["hash"], rows["id"], rows["th"], rows["lo"], rows["hi"] = h, d, th, lo, hi
+                rows["hash"], rows["more"], rows["id"], rows["th"], rows["lo"], rows["hi"] = *h.T, d, th, lo, hi
                 held.append(rows)
                 size += len(h)
                 if size >= FLUSH_RUNS:
@@ -102,18 +111,28 @@ def _scan(buckets: int, least: int):
     return run
 
 
+def _gone(rows: np.ndarray):
+    for lo in range(0, len(rows), 50_000):
+        part = rows[lo : lo + 50_000]
+        yield arrow_rows(_GONE, **{n: np.ascontiguousarray(part[n]) for n in ("id", "th", "lo", "hi")})
+
+
 def _own(it):
-    """Every occurrence but the first of the hashes that this task owns."""
-    first, again = [], []
-    for kinds, payloads in batches(it, "kind", "payload"):
-        for k, p in zip(kinds.to_pylist(), payloads):
-            (first if k == RUNS else again).append(np.frombuffer(p.as_py(), dtype=_RUN))
+    """Messages sorted by owner: every occurrence but the first of each hash. The runs of one owner are held at a time."""
+    owner, first = None, []
+    for buckets, kinds, payloads in batches(it, "bucket", "kind", "payload"):
+        for bucket, k, p in zip(buckets.to_pylist(), kinds.to_pylist(), payloads):
+            rows = np.frombuffer(p.as_py(), dtype=_RUN)
+            if k == REPEATED:
+                yield from _gone(rows)
+                continue
+            if bucket != owner:
+                if first:
+                    yield from _gone(_split(np.concatenate(first))[1])
+                owner, first = bucket, []
+            first.append(rows)
     if first:
-        again.append(_split(np.concatenate(first))[1])
-    for rows in again:
-        for lo in range(0, len(rows), 50_000):
-            part = rows[lo : lo + 50_000]
-            yield arrow_rows(_GONE, **{n: np.ascontiguousarray(part[n]) for n in ("id", "th", "lo", "hi")})
+        yield from _gone(_split(np.concatenate(first))[1])
 
 
 def _cut_texts(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -124,6 +143,7 @@ def _cut_texts(texts: pd.Series, spans: pd.Series) -> pd.Series:
         for s in gone if gone is not None else ():
             keep[s["lo"] : s["hi"]] = False
         out.append("".join(p for p, k in zip(parts, keep) if k))
+    give_back()
     return pd.Series(out, dtype=object)
 
 
@@ -151,7 +171,7 @@ def _cut(rows):
             for lo in range(0, len(out), 500):
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 500]))))
 
-    return rows.mapInArrow(run, "id long, th long, n_sentences long, n_removed long, removed array<array<long>>, text string")
+    return rows.mapInArrow(frugal(run), "id long, th long, n_sentences long, n_removed long, removed array<array<long>>, text string")
 
 
 def _keys(docs: DataFrame) -> list:
@@ -162,8 +182,8 @@ def _keys(docs: DataFrame) -> list:
 def repeated_spans(docs: DataFrame, least_words: int = RUN_WORDS) -> DataFrame:
     """(id, th, spans): the sentence ranges of each text that repeat an earlier occurrence; th is the text's hash."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(*_keys(docs)).mapInArrow(_scan(4 * parts, least_words), "bucket int, kind int, payload binary")
-    gone = sent.repartition(parts, "bucket").mapInArrow(_own, "id long, th long, lo int, hi int")
+    sent = docs.select(*_keys(docs)).mapInArrow(frugal(_scan(OWNERS * parts, least_words)), "bucket int, kind int, payload binary")
+    gone = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(_own), "id long, th long, lo int, hi int")
     return materialize(gone.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
@@ -172,7 +192,8 @@ def remove_repeats(docs: DataFrame, least_words: int = RUN_WORDS) -> DataFrame:
 
     Of all occurrences of a run the first, by (doc_id, place), stays. Null text is empty text and loses nothing; null
     doc_ids come after all others. Rows that repeat a doc_id and its text are one document and lose alike. Texts of fewer
-    than least_words words have no run. Every other column is ignored.
+    than least_words words have no run, nor have texts of one sentence with fewer than twice as many. Every other column
+    is ignored; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, least_words)
     left = docs.select(*_keys(docs)).join(spans, ["id", "th"], "left")
@@ -191,14 +212,12 @@ def clean(docs: DataFrame, least_words: int = RUN_WORDS) -> DataFrame:
     cut = F.pandas_udf(_cut_texts, "string")
     done = hit.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans"))))
     done = done.where(F.col("spans").isNull() | (F.trim("left") != ""))
-    names = {c.lower() for c in docs.columns}
     cols = []
     for c in docs.columns:
+        kept = F.col(f"row.`{c}`")
         if c.lower() == "text":
-            cols.append(F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(F.col("left")).alias(c))
-        elif c.lower() == "n_chars" and "text" in names:
-            kind = docs.schema[c].dataType.simpleString()
-            cols.append(F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(F.length("left").cast(kind)).alias(c))
-        else:
-            cols.append(F.col(f"row.`{c}`").alias(c))
+            kept = F.when(F.col("spans").isNull(), kept).otherwise(F.col("left"))
+        elif c.lower() == "n_chars":
+            kept = F.when(F.col("spans").isNull(), kept).otherwise(F.length("left").cast(docs.schema[c].dataType))
+        cols.append(kept.alias(c))
     return done.select(*cols)

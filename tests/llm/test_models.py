@@ -60,6 +60,58 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
 
 
+def plain_probability(net, ids):
+    """Word vectors, then every filter at every place, in loops; padding stands behind the text."""
+    vectors = [sum(net.table[r].astype(float) for r in row) for row in ids] + [np.zeros(toxicity.DIM)] * max(toxicity.WIDTHS)
+    z, k = net.prior, 0
+    for width, f, b in zip(toxicity.WIDTHS, net.filters, net.bias):
+        for c in range(toxicity.FILTERS):
+            values = [sum(vectors[i + j] @ f[j * toxicity.DIM : (j + 1) * toxicity.DIM, c] for j in range(width)) + b[c] for i in range(len(vectors) - width + 1)]
+            z += max(0, max(values)) * net.out[k]
+            k += 1
+    return 1 / (1 + np.exp(-z))
+
+
+def test_convolution_and_gradients_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    net = toxicity.Net()
+    net.table = net.table.astype(np.float64)
+    net.filters, net.bias = [f.astype(np.float64) for f in net.filters], [b + rng.normal(size=b.shape) * 0.3 for b in net.bias]
+    net.out = rng.normal(size=net.out.shape)
+    texts = [rng.integers(1, 40, size=(n, 1 + len(toxicity.PREFIXES))) for n in (0, 1, 2, 7, 30)]
+    ids, first = toxicity._joined(texts)
+    got = net.probabilities(ids, first)
+    assert np.allclose(got, [plain_probability(net, t) for t in texts], atol=1e-9)
+    y, weight = np.array([0, 1, 0, 1, 1]), np.array([1.0, 2.0, 1.0, 2.0, 2.0])
+
+    def loss():
+        p = net.probabilities(ids, first)
+        return float(np.mean(-weight * np.where(y == 1, np.log(p), np.log(1 - p))))
+
+    filters, biases, out, prior, used, rows = toxicity.gradients(net, ids, first, y, weight)
+    places = [(f, g, tuple(rng.integers(s) for s in f.shape)) for f, g in zip(net.filters, filters) for _ in range(6)]
+    places += [(b, g, (int(rng.integers(len(b))),)) for b, g in zip(net.bias, biases)] + [(net.out, out, (k,)) for k in range(4)]
+    full = np.zeros_like(net.table)
+    full[used] = rows
+    places += [(net.table, full, (int(used[k]), k % toxicity.DIM)) for k in range(1, len(used), 3)]
+    for x, g, at in places:
+        old = x[at]
+        x[at] = old + 1e-5
+        up = loss()
+        x[at] = old - 1e-5
+        down = loss()
+        x[at] = old
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-4, (up, down, g[at])
+
+
+def test_toxicity_learns_from_few_labels():
+    rows = corpus(120, seed=7)
+    coded = [toxicity.buckets(Words([r[1]])) for r in rows]
+    y = np.array([r[3] for r in rows])
+    net = toxicity.fit_rows(coded[:80], y[:80], [r[2] for r in rows[:80]])
+    assert np.mean((net.scores(*toxicity._joined(coded[80:])) >= 0.5) == y[80:]) > 0.9
+
+
 def test_languages_on_held_out_rows(spark):
     rows = corpus()
     docs = spark.createDataFrame([r[:3] for r in rows] + ODD, "doc_id long, text string, lang string").selectExpr("*", "'x' as lang_pred").repartition(3)

@@ -13,12 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_rows, batches, held_out, materialize
+from .common import arrow_rows, batches, frugal, held_out, materialize
 from .words import Words, slices
 
-#: Bounds of the sample that the model is fitted on: documents, and characters of a text (longer ones are not fitted on).
-TRAIN_DOCS, TRAIN_CHARS = 4_000, 50_000
+#: Bounds of the sample that the model is fitted on: documents, and characters of all of them; whole texts of any length.
+TRAIN_DOCS, TRAIN_CHARS = 4_000, 40_000_000
 #: Training sequences are made of the sample's words; half of them switch the language once.
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE, DECAY, SEED = 10_000, 24, 4, 250, 0.2, 1e-4, 5
 BLOCK = 64
@@ -231,15 +232,22 @@ def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
 def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> CRF:
     """A model from rows of docs (doc_id, text, lang) with a language that are not held out.
 
-    At most `rows` of them are used, the first in the order of their ids' hashes (of rows that repeat an id the one with
-    the smallest text), without texts of over TRAIN_CHARS characters. Without rows there is no language to predict.
+    At most `rows` of them are used, alike many of each language (at least one), the first in the order of their ids'
+    hashes (of rows that repeat an id the one with the smallest text), and of those as many as come before TRAIN_CHARS
+    characters are full. Without rows there is no language to predict.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & ~held_out("doc_id"))
+    own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     names = sorted(r.lang for r in own.select("lang").distinct().collect())
-    chosen = materialize(own.groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id"), "language-sample")
-    got = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"))
-    got = got.select("doc_id", "row.*").toArrow().to_pandas().sort_values("doc_id")
+    ids = own.select("doc_id", "lang").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.select("*", place.alias("place")).where(F.col("place") <= max(1, rows // max(1, len(names)))).select("doc_id", "place")
+    chosen = materialize(chosen, "language-sample")
+    got = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "place").agg(F.min(F.struct("text", "lang")).alias("row"))
+    got = materialize(got.select("doc_id", "place", "row.*"), "language-texts")
+    before = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # of at most `rows` rows
+    fits = got.select("doc_id", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).alias("chars")).where(F.col("chars") < TRAIN_CHARS)
+    got = got.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "text", "lang").toArrow().to_pandas().sort_values("doc_id")
     return fit_texts(list(got["text"]), list(got["lang"]), names)
 
 
@@ -263,25 +271,20 @@ def predict(docs: DataFrame, model: CRF) -> DataFrame:
         for ids, texts in batches(it, "doc_id", "text"):
             for start in range(0, len(texts), 1000):
                 part = texts.slice(start, 1000).to_pylist()
-                emissions, counts = [], []
-                for _, _, words in _by_words(part):
-                    emissions.append(crf.emissions(Features(words)))
-                    counts.append(np.diff(words.first))
-                n = np.concatenate(counts)
-                first = np.concatenate([[0], np.cumsum(n)])
                 lang, score = [UNKNOWN] * len(part), np.zeros(len(part))
-                if crf.names:
-                    e = np.concatenate(emissions)
-                    total = np.concatenate([np.zeros((1, len(crf.names))), np.cumsum(crf.posteriors(e, first), axis=0)])
-                    mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)[:, None]
+                for lo, _, words in _by_words(part) if crf.names else ():
+                    n = np.diff(words.first)
+                    post = crf.posteriors(crf.emissions(Features(words)), words.first)
+                    total = np.concatenate([np.zeros((1, len(crf.names))), np.cumsum(post, axis=0)])
+                    mean = (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1)[:, None]
                     best = mean.argmax(axis=1)
-                    for i, t in enumerate(part):
-                        if n[i] and LETTER.search(t):
-                            lang[i], score[i] = crf.names[best[i]], min(1.0, max(0.0, mean[i, best[i]]))
+                    for i in np.flatnonzero(n).tolist():
+                        if LETTER.search(part[lo + i]):
+                            lang[lo + i], score[lo + i] = crf.names[best[i]], min(1.0, max(0.0, mean[i, best[i]]))
                 yield arrow_rows(schema, doc_id=ids.slice(start, 1000), lang_pred=lang, score=score)
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = cols.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = cols.mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
@@ -307,4 +310,4 @@ def label_words(docs: DataFrame, model: CRF) -> DataFrame:
             yield arrow_rows(schema, doc_id=ids, runs=out)
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, runs array<struct<lang string, words long>>")
+    return cols.mapInArrow(frugal(run), "doc_id long, runs array<struct<lang string, words long>>")

@@ -175,6 +175,22 @@ def test_rollup_against_brute_force(spark):
     assert token_counts.corpus_rollup(docs.limit(0), path, "v1").totals().count() == 0
 
 
+def test_two_writers_of_one_batch_count_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("s", "en", "v", 1, 10)], "source string, lang string, tokenizer string, sign int, n_tokens long")
+    first = token_counts.Rollup(spark)
+    second = token_counts.Rollup(spark, first.folder)
+    claim, done = second._claim, []
+
+    def late(name, content):  # the first writer commits after the second has looked and written its draft
+        done.append(first.commit("b", rows))
+        return claim(name, content)
+
+    monkeypatch.setattr(second, "_claim", late)
+    assert (second.commit("b", rows), done) == (False, [True])
+    assert [(r.docs, r.tokens) for r in first.totals().collect()] == [(1, 10)]
+    assert first.commit("c", rows) and [(r.docs, r.tokens) for r in second.totals().collect()] == [(2, 20)]
+
+
 def test_rollup_counts_documents_by_their_own_texts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)

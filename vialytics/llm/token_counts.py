@@ -1,12 +1,13 @@
 """Token counts: rollups by source, language and tokenizer version that signed changes keep up to date.
 
 Totals are additive. A batch of inserts, deletes and revised counts is folded to one signed row for each group and
-committed as one folder, named by the batch; a folder that is there already is the same batch again and is left alone.
+written to a draft folder. A marker file named by the batch, which only one writer can make, names the draft that counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import loaded, read_tokenizer
-from .common import arrow_rows, batches, materialize, shared_path
+from .common import arrow_rows, batches, frugal, materialize, shared_path
 
 KEYS = ["source", "lang", "tokenizer"]
 #: What a change does: the sign of a document and its tokens.
@@ -35,7 +36,7 @@ def _keyed_counts(docs: DataFrame, tokenizer_path: str, version: str) -> DataFra
             yield arrow_rows(schema, doc_id=ids, source=sources, lang=langs, n_tokens=counts, key=keys)
 
     cols = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(source as string) as source", "cast(lang as string) as lang", "cast(text as string) as text")
-    counted = cols.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long, key binary")
+    counted = cols.mapInArrow(frugal(run), "doc_id long, source string, lang string, n_tokens long, key binary")
     return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), "n_tokens", "key")
 
 
@@ -70,35 +71,62 @@ class Rollup:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _claim(self, name: str, content: str) -> bool:
+        """Make the file `name` with its content as one step; False if it is there already, also when two writers try at once."""
+        jvm = self.spark._jvm
+        draft, files = self._path(f"claims/{uuid.uuid4().hex}")
+        out = files.create(draft, False)
+        out.write(content.encode())
+        out.close()
+        final, _ = self._path(name)
+        files.mkdirs(final.getParent())
+        try:
+            if files.getScheme() == "file":  # a rename replaces what is there on local disks, a link does not
+                jvm.java.nio.file.Files.createLink(*(jvm.java.nio.file.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (final, draft)))
+            else:
+                kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+                once = self.spark.sparkContext._gateway.new_array(kind, 1)
+                once[0] = kind.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, once)
+            return True
+        except Py4JJavaError as e:
+            if not files.exists(final):
+                raise OSError(f"{name} could not be committed") from e
+            return False
+        finally:
+            files.delete(draft, False)
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of changes; False if a batch of that name was committed before, which then counts once.
 
-        The sums are written beside and renamed as a whole, so a batch that fails half way leaves nothing behind, and of
-        two writers of one batch the first to rename wins.
+        The sums are written to a draft folder of their own; the marker that names it is made in one step. A batch that
+        fails half way leaves no marker and does not count, and of two writers of one batch one makes the marker.
         """
-        name = "batch=" + hashlib.sha256(batch.encode()).hexdigest()[:32]
+        name = "markers/" + hashlib.sha256(batch.encode()).hexdigest()[:32]
         path, files = self._path(name)
         if files.exists(path):
             return False
         signed = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.coalesce("n_tokens", F.lit(0))).cast("long").alias("tokens"))
-        draft = shared_path(self.spark, "draft")
-        signed.write.parquet(draft)
-        files.mkdirs(path.getParent())
-        try:
-            moved = files.rename(self.spark._jvm.org.apache.hadoop.fs.Path(draft), path)
-        except Py4JJavaError:
-            moved = False
-        if not moved and not files.exists(path):
-            raise OSError(f"batch {batch} could not be committed")
-        return bool(moved)
+        draft = f"drafts/{uuid.uuid4().hex}"
+        signed.write.parquet(f"{self.folder}/{draft}")
+        if self._claim(name, draft):
+            return True
+        files.delete(self._path(draft)[0], True)
+        return False
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens): the sums over all batches; groups of which nothing is left are not listed."""
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        path, files = self._path("")
-        if not files.exists(path):
+        path, files = self._path("markers")
+        markers = files.listStatus(path) if files.exists(path) else []
+        drafts = []  # one short line for each batch
+        for m in markers:
+            stream = files.open(m.getPath())
+            drafts.append(bytes(stream.readAllBytes()).decode())
+            stream.close()
+        if not drafts:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.folder)
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.folder}/{d}" for d in drafts))
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 

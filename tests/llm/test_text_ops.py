@@ -110,6 +110,9 @@ def test_warc_round_trip(spark):
         seen[html] = seen.get(html, 0) + (r.record_type == "response")
     assert set(seen.values()) == {1}
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    response, revisit = (warc.record_bytes(k, u, i, b"same", t, tu) for k, u, i, t, tu in (("response", "u", 1, None, None), ("revisit", "v", 0, 1, "u")))
+    made, again = ([h for h, _ in warc.read_records(io.BytesIO(warc.archive_bytes([warc.info_bytes("x"), r])))] for r in (response, revisit))
+    assert made[0]["WARC-Type"] == "warcinfo" and again[1]["WARC-Refers-To"] == made[1]["WARC-Record-ID"] and again[1]["WARC-Refers-To-Target-URI"] == "u"
     records = [warc.record_bytes("response", "u", i, b"page %d" % i * 20, None) for i in range(300)]
     again = list(warc.read_records(io.BytesIO(warc.archive_bytes(records))))
     assert [h["X-Page-Id"] for h, _ in again] == [str(i) for i in range(300)]

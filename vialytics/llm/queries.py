@@ -10,47 +10,57 @@ from .common import table
 
 
 def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, linked inside their labels at a cosine of 0.98: links, component and whether the vector is its first."""
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again: number of ids and digests of ids and text."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked at 85 in 100 common 4-word shingles: size of the set and component."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 4, "0.85")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back: payload digest, response or revisit."""
     back = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its group of equal texts."""
     out = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after five batches of signed changes over all documents."""
     docs = table(spark, sf_dir, "documents")
     return token_counts.corpus_rollup(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k", whole=True).totals()
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text by a model of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
 
 
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the sentences cut that repeat an earlier run."""
     out = span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n_sentences", "n_removed", "to_json(removed) as removed", "text")
 

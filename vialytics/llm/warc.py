@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, batches, materialize, shared_path
+from .common import arrow_rows, batches, frugal, materialize, shared_path
 
 #: Fixed values of the format: the skippable frame's magic number and the revisit profile.
 SKIPPABLE = 0x184D2A5D
@@ -30,15 +30,30 @@ LEVEL = 3
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record. A revisit holds the HTTP head alone; its length and digest are the full payload's."""
+def _record_id(kind: str, url: str | None, page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}|{kind}')}>"
+
+
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def info_bytes(name: str) -> bytes:
+    """The warcinfo record that opens an archive."""
+    block = b"software: vialytics\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id('warcinfo', name, None, '')}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head += [f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC record. A revisit holds the HTTP head alone; its length and digest are the full payload's, and it names its response."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest}|{kind}")
     block = HTTP + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{ident}>",
+        f"WARC-Record-ID: {_record_id(kind, url, page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -46,11 +61,14 @@ def record_bytes(kind: str, url: str | None, page_id: int | None, payload: bytes
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append("WARC-Target-URI: " + _uri(url))
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
         head.append(f"WARC-Profile: {PROFILE}")
+        head.append(f"WARC-Refers-To: {_record_id('response', refers_url, refers_to, digest)}")
+        if refers_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + _uri(refers_url))
         if refers_to is not None:
             head.append(f"X-Refers-To-Page-Id: {refers_to}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -122,9 +140,9 @@ def write_archives(pages: DataFrame, directory: str | None = None) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
     )
     base = materialize(base.withColumn("key", F.unhex(F.sha2("html", 256))), "pages")
-    best = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", (-F.col("row")).alias("row")))
-    winners = materialize(base.groupBy("key").agg(best.alias("w")).select("key", F.col("w.page_id").alias("to"), (-F.col("w.row")).alias("winner")), "responses")
-    named = base.join(winners, "key").select("page_id", "url", "html", (F.col("row") == F.col("winner")).alias("first"), "to")
+    best = F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", (-F.col("row")).alias("row"), "url"))
+    winners = materialize(base.groupBy("key").agg(best.alias("w")).select("key", F.col("w.page_id").alias("to"), F.col("w.url").alias("to_url"), (-F.col("w.row")).alias("winner")), "responses")
+    named = base.join(winners, "key").select("page_id", "url", "html", (F.col("row") == F.col("winner")).alias("first"), "to", "to_url")
     schema = pa.schema([("path", pa.string()), ("records", pa.int64())])
 
     def run(it):
@@ -136,12 +154,12 @@ def write_archives(pages: DataFrame, directory: str | None = None) -> DataFrame:
         def close():
             name = f"pages-{context.partitionId():06d}-{context.taskAttemptId()}-{made:05d}.warc.zst"
             with files.open_output_stream(f"{folder}/{name}") as out:
-                out.write(archive_bytes(held))
+                out.write(archive_bytes([info_bytes(name), *held]))
             return arrow_rows(schema, path=[f"{directory}/{name}"], records=[len(held)])
 
-        for ids, urls, html, first, to in batches(it, "page_id", "url", "html", "first", "to"):
-            for i, u, h, f, t in zip(ids.to_pylist(), urls.to_pylist(), html, first.to_pylist(), to.to_pylist()):
-                held.append(record_bytes("response" if f else "revisit", u, i, h.as_py().encode(), None if f else t))
+        for ids, urls, html, first, to, to_url in batches(it, "page_id", "url", "html", "first", "to", "to_url"):
+            for i, u, h, f, t, tu in zip(ids.to_pylist(), urls.to_pylist(), html, first.to_pylist(), to.to_pylist(), to_url.to_pylist()):
+                held.append(record_bytes("response" if f else "revisit", u, i, h.as_py().encode(), None if f else t, None if f else tu))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()
@@ -149,7 +167,7 @@ def write_archives(pages: DataFrame, directory: str | None = None) -> DataFrame:
         if held:
             yield close()
 
-    return materialize(named.mapInArrow(run, "path string, records long"), "archives")
+    return materialize(named.mapInArrow(frugal(run), "path string, records long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -164,6 +182,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 with files.open_input_stream(inner) as stream:
                     out, size = [], 0
                     for h, block in read_records(stream):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         payload = block.partition(b"\r\n\r\n")[2] if h["WARC-Type"] == "response" else None
                         digest, n = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
                         if payload is not None and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
@@ -179,4 +199,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = archives.repartition(n, "path")
-    return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return spread.mapInArrow(frugal(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")

@@ -52,6 +52,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession, *broadcasts) -> None:
+    """After a large step: Spark deletes shuffle files of finished steps when the driver collects garbage. Destroys the broadcasts."""
+    for b in broadcasts:
+        b.destroy()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return memory that this Python worker no longer uses: workers are reused, and an executor's memory is shared."""
     gc.collect()

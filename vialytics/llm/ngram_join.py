@@ -1,10 +1,12 @@
 """N-gram Jaccard join with prefix trees.
 
-1. Every document becomes the set of its hashed word n-grams. By the pigeonhole principle two sets that may link agree
-   on at least one of a few parts of the hash space, so documents that share no part signature cannot link. Tasks fold
-   equal signatures of their own documents first and send sorted signature lists to their owners.
-2. Documents that signatures connect form candidate cells; every link lies inside one cell.
-3. In a cell the sets, ordered by global frequency in the cell, are stored in a trie. A probe walks it once, shares the
+1. Every document becomes the set of its hashed word n-grams. A set can only link if enough of its n-grams occur in other
+   sets: tasks send short keys of their n-grams to owners, which count for each document those that others have too.
+2. By the pigeonhole principle two sets that may link agree on at least one of a few parts of the hash space, so documents
+   that share no part signature cannot link. Tasks fold equal signatures of their own documents first and send sorted
+   signature lists to their owners.
+3. Documents that signatures connect form candidate cells; every link lies inside one cell.
+4. In a cell the sets, ordered by global frequency in the cell, are stored in a trie. A probe walks it once, shares the
    overlap of common prefixes, and prunes a subtree when even its whole rest could not reach the threshold.
    Of large cells only sets whose n-grams are shared often enough to link at all go on. They probe tries of a few leaders
    first; sets that leaders left apart meet in tries of blocks of like sizes.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, batches, connected_components, discard, frugal, local_forest, materialize, mix64
+from .common import arrow_rows, batches, connected_components, discard, frugal, local_forest, materialize, mix64, sweep
 
 CELL = 1500
 LEADERS = 16
@@ -32,9 +34,11 @@ _U = np.uint64
 _STEP, _BAND, _EMPTY = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
-SIGNATURE, COPY, CANDIDATE, META, SURE = range(5)
-OPEN, SHARED, COUNTED = range(3)
-_COUNT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
+SIGNATURE, COPY, CANDIDATE, SURE = range(4)
+OPEN, SHARED, COUNTED, META = range(4)
+_COUNT = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
+#: Of an n-gram that is only counted 32 bits go beside its owner's number: a key that two share lets a set through, never stops one.
+SHORT = np.uint32
 #: Owners for each task: a task holds the messages of one owner at a time.
 OWNERS = 8
 #: Bits of the filter that spares documents without candidates the way to the cells: 8 MB, whatever the input.
@@ -95,21 +99,22 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _messages(kind: int, keys: np.ndarray, ids: np.ndarray, buckets: int):
-    """Sorted keys cut by owner; ids as indexes into a table of their distinct values."""
+def _messages(kind: int, keys: np.ndarray, ids: np.ndarray, buckets: int, key: type = np.uint64):
+    """Sorted keys cut by owner; ids as indexes into a table of their distinct values. Short keys keep a key's low bits."""
     owner = (((keys >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
     cut = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]]) if len(owner) else [0]
     for lo, hi in zip(cut[:-1], cut[1:]):
         table, index = np.unique(ids[lo:hi], return_inverse=True)
         wide = np.uint16 if len(table) <= 65535 else np.uint32
-        yield int(owner[lo]), kind, np.array([hi - lo, len(table)], dtype=np.int64).tobytes() + keys[lo:hi].tobytes() + table.tobytes() + index.astype(wide).tobytes()
+        yield int(owner[lo]), kind, np.array([hi - lo, len(table)], dtype=np.int64).tobytes() + keys[lo:hi].astype(key).tobytes() + table.tobytes() + index.astype(wide).tobytes()
 
 
-def _read_message(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _read_message(raw: bytes, key: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     n, m = np.frombuffer(raw, dtype=np.int64, count=2)
-    keys = np.frombuffer(raw, dtype=np.uint64, count=n, offset=16)
-    table = np.frombuffer(raw, dtype=np.int64, count=m, offset=16 + 8 * n)
-    return keys, table[np.frombuffer(raw, dtype=np.uint16 if m <= 65535 else np.uint32, count=n, offset=16 + 8 * (n + m))]
+    keys = np.frombuffer(raw, dtype=key, count=n, offset=16)
+    at = 16 + keys.itemsize * n
+    table = np.frombuffer(raw, dtype=np.int64, count=m, offset=at)
+    return keys, table[np.frombuffer(raw, dtype=np.uint16 if m <= 65535 else np.uint32, count=n, offset=at + 8 * m)]
 
 
 def _first_of_runs(keys: np.ndarray, ids: np.ndarray):
@@ -126,7 +131,6 @@ def _scan(n: int, threshold: Fraction, buckets: int):
     def run(it):
         bands = Bands(threshold)
         docs: list[tuple[int, np.ndarray]] = []
-        metas: list[tuple[int, int]] = []
         size, serial = 0, TaskContext.get().partitionId() * 31
 
         def flush():
@@ -154,10 +158,7 @@ def _scan(n: int, threshold: Fraction, buckets: int):
                 a, b = local_forest(other, root)
                 if len(a):
                     rows.append(((at + 1) % buckets, CANDIDATE, np.stack([a, b]).tobytes()))
-            if metas:
-                rows.append(((at + 2) % buckets, META, np.array(metas, dtype=np.int64).T.tobytes()))
             docs.clear()
-            metas.clear()
             for lo in range(0, len(rows), 64):
                 o, k, p = zip(*rows[lo : lo + 64])
                 yield arrow_rows(_MESSAGE, bucket=o, kind=k, payload=p)
@@ -165,14 +166,13 @@ def _scan(n: int, threshold: Fraction, buckets: int):
         for ids, texts in batches(it, "doc_id", "text"):
             for d, t in zip(ids.to_pylist(), texts):
                 h = shingles(t.as_py(), n)
-                metas.append((0 if d is None else d, len(h) if d is not None else -1 - len(h)))
                 if d is not None and len(h):
                     docs.append((d, h))
                     size += len(h)
-                if size >= FLUSH or len(metas) >= 20_000:
+                if size >= FLUSH:
                     yield from flush()
                     size = 0
-        if metas:
+        if docs:
             yield from flush()
 
     return run
@@ -195,16 +195,12 @@ def _by_owner(it):
 def _own(it):
     """What meets at one owner: copies and candidates as links to the smallest id, the rest passed on."""
 
-    def rows(kind, a, b, c=None, valid=None):
+    def rows(kind, a, b, c=None):
         for lo in range(0, len(a), 50_000):
             s = slice(lo, lo + 50_000)
-            left = pa.array(a[s], mask=None if valid is None else ~valid[s])
-            yield arrow_rows(_FOUND, kind=np.full(len(b[s]), kind, dtype=np.int32), a=left, b=b[s], c=np.zeros(len(b[s]), dtype=np.int64) if c is None else c[s])
+            yield arrow_rows(_FOUND, kind=np.full(len(b[s]), kind, dtype=np.int32), a=a[s], b=b[s], c=np.zeros(len(b[s]), dtype=np.int64) if c is None else c[s])
 
     for _, got in _by_owner(it):
-        for p in got.pop(META, ()):
-            ids, n = np.frombuffer(p, dtype=np.int64).reshape(2, -1)
-            yield from rows(META, ids, np.where(n < 0, -1 - n, n), valid=n >= 0)
         for p in got.pop(SURE, ()):
             yield from rows(SURE, *np.frombuffer(p, dtype=np.int64).reshape(3, -1))
         if COPY in got:
@@ -355,32 +351,55 @@ def _tries(tasks: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.mapInArrow(frugal(_join_cells(threshold)), "a long, b long")
 
 
-def _scan_shared(buckets: int):
-    """Sends each n-gram of a cell once from every chunk; n-grams that sets of one chunk share are counted at once."""
+def _of_cell(it):
+    """(doc_id, keys, None) of sets; the same n-gram has another key in another cell."""
+    for cells, docs, grams in batches(it, "cell", "doc_id", "grams"):
+        for c, d, g in zip(cells.to_numpy(), docs.to_pylist(), grams):
+            yield d, mix64(np.frombuffer(g.as_py(), dtype=np.uint64) + c.astype(np.uint64) * _STEP), None
+
+
+def _of_text(n: int):
+    """(doc_id, n-grams, their number) of texts."""
+
+    def run(it):
+        for docs, texts in batches(it, "doc_id", "text"):
+            for d, t in zip(docs.to_pylist(), texts):
+                h = shingles(t.as_py(), n)
+                yield d, h if d is not None else h[:0], len(h)
+
+    return run
+
+
+def _scan_shared(read, buckets: int):
+    """Sends each n-gram once from every chunk; n-grams that sets of one chunk share are counted at once."""
 
     def run(it):
-        keys, ids, size, serial = [], [], 0, TaskContext.get().partitionId() * 31
+        keys, ids, metas, size, serial = [], [], [], 0, TaskContext.get().partitionId() * 31
 
         def flush():
-            head, first, again, other, _ = _first_of_runs(np.concatenate(keys), np.concatenate(ids))
+            head, first, again, other, _ = _first_of_runs(*(np.concatenate([np.zeros(0, dtype=t), *x]) for x, t in ((keys, np.uint64), (ids, np.int64))))
             known = np.isin(head, again)
-            rows = [*_messages(OPEN, head[~known], first[~known], buckets), *_messages(SHARED, head[known], first[known], buckets)]
+            rows = [*_messages(OPEN, head[~known], first[~known], buckets, SHORT), *_messages(SHARED, head[known], first[known], buckets, SHORT)]
             if len(other):
                 rows.append((serial % buckets, COUNTED, np.stack(np.unique(np.concatenate([other, first[known]]), return_counts=True)).tobytes()))
+            if metas:
+                rows.append(((serial + 1) % buckets, META, np.array(metas, dtype=np.int64).T.tobytes()))
             for lo in range(0, len(rows), 64):
                 o, k, p = zip(*rows[lo : lo + 64])
                 yield arrow_rows(_MESSAGE, bucket=o, kind=k, payload=p)
 
-        for cells, docs, grams in batches(it, "cell", "doc_id", "grams"):
-            for c, d, g in zip(cells.to_numpy(), docs.to_pylist(), grams):
-                keys.append(mix64(np.frombuffer(g.as_py(), dtype=np.uint64) + c.astype(np.uint64) * _STEP))
-                ids.append(np.full(len(keys[-1]), d, dtype=np.int64))
-                size += len(keys[-1])
-                if size >= FLUSH:
-                    serial += 1
-                    yield from flush()
-                    keys, ids, size = [], [], 0
-        if keys:
+        for d, h, n in read(it):
+            if n is not None:
+                metas.append((0 if d is None else d, n if d is not None else -1 - n))
+            if len(h):
+                keys.append(h)
+                ids.append(np.full(len(h), d, dtype=np.int64))
+                size += len(h)
+            if size >= FLUSH or len(metas) >= 20_000:
+                serial += 1
+                yield from flush()
+                keys, ids, metas, size = [], [], [], 0
+        if keys or metas:
             serial += 1
             yield from flush()
 
@@ -388,24 +407,42 @@ def _scan_shared(buckets: int):
 
 
 def _own_shared(it):
-    """(doc_id, number of its n-grams owned here that another set of its cell has too)."""
+    """(doc_id, COUNTED, number of its n-grams owned here that another set has too), and (doc_id, META, size of the set)."""
+
+    def rows(kind, ids, n, valid=None):
+        for lo in range(0, len(ids), 50_000):
+            s = slice(lo, lo + 50_000)
+            yield arrow_rows(_COUNT, doc_id=pa.array(ids[s], mask=None if valid is None else ~valid[s]), kind=np.full(len(n[s]), kind, dtype=np.int32), n=n[s])
+
+    def summed(counts):
+        ids, inverse = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
+        return ids, np.bincount(inverse, weights=np.concatenate([n for _, n in counts]), minlength=len(ids)).astype(np.int64)
+
+    counts = []
     for _, got in _by_owner(it):
-        counts = [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.get(COUNTED, ())]
+        for p in got.get(META, ()):
+            ids, n = np.frombuffer(p, dtype=np.int64).reshape(2, -1)
+            yield from rows(META, ids, np.where(n < 0, -1 - n, n), n >= 0)
+        counts += [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.get(COUNTED, ())]
         if OPEN in got:
-            keys, ids = (np.concatenate(x) for x in zip(*map(_read_message, got[OPEN])))
+            keys, ids = (np.concatenate(x) for x in zip(*(_read_message(p, SHORT) for p in got[OPEN])))
             _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
             more = times[inverse] > 1
             if SHARED in got:
-                more |= np.isin(keys, np.concatenate([_read_message(p)[0] for p in got[SHARED]]))
-            counts.append(np.stack(np.unique(ids[more], return_counts=True)))
-        for ids, n in counts:
-            for lo in range(0, len(ids), 50_000):
-                yield arrow_rows(_COUNT, doc_id=ids[lo : lo + 50_000], n=n[lo : lo + 50_000])
+                more |= np.isin(keys, np.concatenate([_read_message(p, SHORT)[0] for p in got[SHARED]]))
+            counts.append(np.unique(ids[more], return_counts=True))
+        if counts:
+            counts = [summed(counts)]
+            if len(counts[0][0]) > 1_000_000:
+                yield from rows(COUNTED, *counts.pop())
+    if counts:
+        yield from rows(COUNTED, *counts[0])
 
 
 def _linkable(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """The sets that may link: a link needs threshold of a set's own n-grams in other sets of its cell."""
-    count = _exchange(sets.select("cell", "doc_id", "grams"), _scan_shared, _own_shared, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    sent = _exchange(sets.select("cell", "doc_id", "grams"), lambda buckets: _scan_shared(_of_cell, buckets), _own_shared, "doc_id long, kind int, n long")
+    count = sent.groupBy("doc_id").agg(F.sum("n").alias("n"))
     enough = F.col("n") * threshold.denominator * 8 >= F.length("grams") * threshold.numerator
     count = materialize(count, "shared-grams")
     kept = materialize(sets.join(count, "doc_id").where(enough).select("cell", "doc_id", "grams"), "linkable")
@@ -489,15 +526,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
     component_id. Rows that repeat a doc_id are one node. Every other column is ignored.
     """
     t = Fraction(str(threshold))
+    spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _exchange(cols, lambda buckets: _scan(n, t, buckets), _own, "kind int, a long, b long, c long")
+    counted = _exchange(cols, lambda buckets: _scan_shared(_of_text(n), buckets), _own_shared, "doc_id long, kind int, n long")
+    counted = materialize(counted.groupBy("doc_id", "kind", F.when(F.col("kind") == META, F.col("n")).alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "counted")
+    sizes = counted.where((F.col("kind") == META) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("size").alias("least"), F.sum("rows").alias("rows"))
+    shared = counted.where(F.col("kind") == COUNTED).groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    may = sizes.join(shared, "doc_id", "left").where((F.col("shared") * t.denominator >= F.col("least") * t.numerator) | (F.col("rows") > 1))
+    held = _member_filter(may.select(F.col("doc_id").alias("id")))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
+    may_link = cols.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(frugal(_may_be_members(held)), "doc_id long, text string")
+    found = _exchange(may_link, lambda buckets: _scan(n, t, buckets), _own, "kind int, a long, b long, c long")
     found = materialize(found, "found")
+    sweep(spark, held)
     sure = found.where(F.col("kind") == SURE)
     edges = found.where(F.col("kind").isin(SURE, CANDIDATE)).select("a", "b")
     cells = connected_components(edges, "cells")
     copies = sure.groupBy("a").agg(F.max("c").alias("copied"))
     # a copy is linked already and its first stands for it, unless its id is repeated with other texts
-    rows = found.where((F.col("kind") == META) & F.col("a").isNotNull()).groupBy(F.col("a").alias("row_id")).agg(F.count("*").alias("n"))
+    rows = sizes.select(F.col("doc_id").alias("row_id"), F.col("rows").alias("n"))
     live = cells.join(copies, cells["id"] == copies["a"], "left").join(rows, F.col("id") == F.col("row_id")).where("copied is null or n > 1")
     live = materialize(live.select("id", F.col("component_id").alias("cell"), "copied", "n"), "live")
     members = materialize(live.join(live.groupBy("cell").agg(F.sum("n").alias("size")), "cell").where("size > 1").select("id", "cell", "copied", "size"), "members")
@@ -515,11 +562,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out[lo : lo + 500]))))
 
     held = _member_filter(members)
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
     texts = cols.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(frugal(_may_be_members(held)), "doc_id long, text string")
     joined = texts.join(members, texts["doc_id"] == members["id"]).select("doc_id", "text", "cell", "copied", "size")
     sets = materialize(joined.mapInArrow(frugal(expand), "cell long, size long, doc_id long, grams binary"), "sets")
-    held.destroy()
+    sweep(spark, held)
     small = sets.where(F.col("size") <= CELL).drop("size")
     large = sets.where(F.col("size") > CELL)
     unlinked = []
@@ -533,9 +579,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
     if unlinked and large.limit(1).count():
         links = links.unionByName(_contract_large(large, t))
     discard(sets, *unlinked)
+    sweep(spark)
     component = connected_components(links.unionByName(sure.select("a", "b")), "links")
     component = materialize(component, "components")
-    meta = found.where(F.col("kind") == META).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    meta = counted.where(F.col("kind") == META).select("doc_id", F.col("size").alias("n_shingles"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
     out = meta.join(component, meta["doc_id"] == component["id"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, batches, materialize
+from .common import arrow_rows, batches, frugal, materialize
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 FP_BITS = 48
@@ -93,7 +93,7 @@ def exact_groups(docs: DataFrame, owners: int | None = None) -> DataFrame:
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     span = -(-(1 << FP_BITS) // owners)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(docs.mapInArrow(_digest, "part long, seq long, doc_id long, sha binary"), "fingerprints")
+    rows = materialize(docs.mapInArrow(frugal(_digest), "part long, seq long, doc_id long, sha binary"), "fingerprints")
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = np.sort(_fingerprints(pdf["sha"]))
@@ -154,9 +154,15 @@ def _runs(keys: np.ndarray, values: np.ndarray):
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, all columns: one row of each group of equal texts."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"))
-    kept = materialize(kept, "kept")
+    """The rows of docs that stay, all columns: one row of each group of equal texts.
+
+    Texts are shuffled once, to meet the ids that stay; only rows that repeat id and text are compared again.
+    """
+    groups = exact_groups(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept")
+    kept = materialize(groups.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"), F.col("n").alias("_n")), "kept")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("sha"))
-    stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["sha"] == kept["_key"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "sha"]).select("row.*")
+    stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["sha"] == kept["_key"]))
+    once = stay.where("_n = 1").select("row.*")
+    if not kept.where("_n > 1").limit(1).count():
+        return once
+    return once.unionByName(stay.where("_n > 1").dropDuplicates(["doc_id", "sha"]).select("row.*"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -135,16 +134,21 @@ def _own(it):
         yield from _gone(_split(np.concatenate(first))[1])
 
 
-def _cut_texts(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def _cut_texts(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without the sentences of their spans; null where there are no spans."""
     out = []
     for text, gone in zip(texts, spans):
-        parts = sentences(text or "")
+        if (gone := gone.as_py()) is None:
+            out.append(None)
+            continue
+        parts = sentences(text.as_py())
         keep = np.ones(len(parts), dtype=bool)
-        for s in gone if gone is not None else ():
+        for s in gone:
             keep[s["lo"] : s["hi"]] = False
         out.append("".join(p for p, k in zip(parts, keep) if k))
+    out = pa.array(out, type=pa.string())
     give_back()
-    return pd.Series(out, dtype=object)
+    return out
 
 
 def _cut(rows):
@@ -207,10 +211,11 @@ def clean(docs: DataFrame, least_words: int = RUN_WORDS) -> DataFrame:
     n_chars, where there is such a column, is counted anew. A row whose text was empty before stays.
     """
     spans = repeated_spans(docs, least_words).withColumnsRenamed({"id": "_sid", "th": "_sth"})
-    rows = docs.select(F.struct("*").alias("row"), *_keys(docs))
+    key, th, _ = _keys(docs)
+    rows = docs.select(F.struct("*").alias("row"), key, th)
     hit = rows.join(spans, (rows["id"] == spans["_sid"]) & (rows["th"] == spans["_sth"]), "left")
-    cut = F.pandas_udf(_cut_texts, "string")
-    done = hit.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("spans"))))
+    whole = F.when(F.col("spans").isNotNull(), F.coalesce(F.col("row.text").cast("string"), F.lit("")))  # only these go to Python
+    done = hit.withColumn("left", F.arrow_udf(_cut_texts, "string")(whole, F.col("spans")))
     done = done.where(F.col("spans").isNull() | (F.trim("left") != ""))
     cols = []
     for c in docs.columns:

@@ -14,24 +14,51 @@ def orphans(children: DataFrame, parents: DataFrame, key: str, code: str) -> Dat
 
 
 def numbered_duplicates(rows: DataFrame, key: str, *order) -> DataFrame:
-    """rows with unique_key: the first keeps its key, the i-th of several becomes key__DUPLICATE_i_status."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    named = F.concat(key, F.lit("__DUPLICATE_"), F.col("_place").cast("string"), F.lit("_"), F.col("status"))
-    return rows.withColumn("_place", place).withColumn("unique_key", F.when(F.col("_place") == 1, F.col(key)).otherwise(named)).drop("_place")
+    """rows with place, unique_key and issue. Of rows that share a key the only COMPLETED one keeps it, wherever it stands.
+
+    All others become key__DUPLICATE_place_status, also all COMPLETED ones if there are several: then each is an ERROR,
+    any other renamed row an INFO. A key that occurs once stays.
+    """
+    own = Window.partitionBy(key)
+    done = F.upper(F.coalesce("status", F.lit(""))) == "COMPLETED"
+    counted = rows.withColumns({"place": F.row_number().over(own.orderBy(*order)), "_n": F.count("*").over(own), "_done": F.count_if(done).over(own)})
+    keeps = (F.col("_n") == 1) | (done & (F.col("_done") == 1))
+    status = F.coalesce(F.nullif(F.upper("status"), F.lit("")), F.lit("UNKNOWN"))
+    named = F.concat(F.col(key), F.lit("__DUPLICATE_"), F.col("place").cast("string"), F.lit("_"), status)
+    issue = F.when(~keeps & done, "duplicate_completed_logical_track_identity").when(~keeps, "duplicate_noncanonical_track_identity_remapped")
+    return counted.withColumns({"unique_key": F.when(keeps, F.col(key)).otherwise(named), "issue": issue}).drop("_n", "_done")
 
 
 def resolved(references: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """references (ref_id, keys, frame_number) with the track meant: the only one around the frame, else the only completed one, else the first."""
+    """references (ref_id, keys, frame_number) with the track meant: the only one around the frame, else the only completed one, else the first.
+
+    A reference without a candidate keeps its row, with no track and how `unresolved`.
+    """
     inside = F.col("frame_number").between(F.col("first_frame"), F.col("last_frame"))
-    pairs = references.join(tracks.select(*keys, "track_no", "first_frame", "last_frame", "status"), keys)
+    pairs = references.join(tracks.select(*keys, "track_no", "first_frame", "last_frame", "status"), keys, "left")
     found = pairs.groupBy("ref_id").agg(
         F.count_if(inside).alias("around"), F.min(F.when(inside, F.col("track_no"))).alias("a"), F.count_if(F.col("status") == "COMPLETED").alias("done"),
         F.min(F.when(F.col("status") == "COMPLETED", F.col("track_no"))).alias("c"), F.min("track_no").alias("first"),
     )
-    how = F.when(F.col("around") == 1, "containment").when(F.col("done") == 1, "completed").otherwise("first")
+    how = F.when(F.col("first").isNull(), "unresolved").when(F.col("around") == 1, "containment").when(F.col("done") == 1, "completed").otherwise("first")
     return found.select("ref_id", F.when(F.col("around") == 1, F.col("a")).when(F.col("done") == 1, F.col("c")).otherwise(F.col("first")).alias("track_no"), how.alias("how"))
 
 
+def issue_table(*found: tuple[DataFrame, str, str]) -> DataFrame:
+    """(severity, code, rows): how often each check (rows that fail it, severity, code) fails; checks that hold have no row."""
+    counts = [rows.agg(F.count("*").alias("rows")).select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "rows") for rows, severity, code in found]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.where("rows > 0")
+
+
+def verdict(issues: DataFrame) -> DataFrame:
+    """One row: errors, warnings and whether the import may be written: no ERROR may be left."""
+    sums = issues.agg(*(F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("rows"))), F.lit(0)).alias(n) for s, n in (("ERROR", "errors"), ("WARNING", "warnings"))))
+    return sums.withColumn("writable", F.col("errors") == 0)
+
+
 def upserted(target: DataFrame, changes: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """target after `insert ... on conflict update`: changed rows take the new values but keep the columns in keep."""
     kept = target.select(*keys, *(F.col(c).alias(f"_{c}") for c in keep))

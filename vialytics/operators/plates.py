@@ -63,13 +63,19 @@ def conflicts(readings: DataFrame) -> DataFrame:
     return ranked.withColumn("verdict", verdict).select("camera_id", "plate_text", "track_no", "read_at", "score", F.col("cluster").cast("long").alias("cluster"), "verdict")
 
 
-def reliability(plate: Column, detected: Column, detection: Column, reading: Column, accepted: Column) -> tuple[Column, Column]:
-    """(score, HIGH / MEDIUM / LOW / UNUSABLE) of a reading; a reading without its own confidence takes the detection's."""
+def reliability(plate: Column, detected: Column, detection: Column, reading: Column, accepted: Column, reason: Column | None = None) -> tuple[Column, Column]:
+    """(score, HIGH / MEDIUM / LOW / UNUSABLE) of a reading; a reading without its own confidence takes the detection's.
+
+    A reading that ended for another reason than completion or validation is LOW, whatever its confidences.
+    """
     det = F.coalesce(detection, F.lit(0.0))
     ocr = F.coalesce(reading, det)
     usable = F.coalesce(detected & (F.length(plate) >= 6), F.lit(False))
-    score = F.when(usable, 0.42 * det + 0.42 * ocr + 0.16 * F.when(accepted, 1.0).otherwise(0.35)).otherwise(F.lit(0.0))
-    label = F.when(~usable, "UNUSABLE").when((score >= 0.72) & (det >= 0.70) & (ocr >= 0.70), "HIGH").when(score >= 0.55, "MEDIUM").otherwise("LOW")
+    told = F.lower(F.trim(F.coalesce(F.lit("") if reason is None else reason, F.lit(""))))
+    other = ~told.isin("", "ocr_completed", "completed") & ~told.startswith("validated_")
+    full = 0.42 * det + 0.42 * ocr + 0.16 * F.when(accepted, 1.0).otherwise(0.35)
+    score = F.when(~usable, F.lit(0.0)).when(other, 0.15).otherwise(full)
+    label = F.when(~usable, "UNUSABLE").when(other, "LOW").when((score >= 0.72) & (det >= 0.70) & (ocr >= 0.70), "HIGH").when(score >= 0.55, "MEDIUM").otherwise("LOW")
     return score, label
 
 

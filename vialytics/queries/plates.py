@@ -88,11 +88,14 @@ def plate_conflict_islands(spark, sf_dir):
 
 @query(
     ALL
-    + """, c as (select vehicle_id, plate_text, plate_detected, cast(track_no % 100 as double) / 100 as det, case when track_no % 5 = 0 then null else cast(track_no * 7 % 100 as double) / 100 end as ocr, track_no % 2 = 0 as acc from v),
-    s as (select *, case when plate_detected and length(plate_text) >= 6 then 0.42e0 * det + 0.42e0 * coalesce(ocr, det) + 0.16e0 * case when acc then 1.0e0 else 0.35e0 end else 0 end as score from c)
-    select vehicle_id, round(score, 6) as score, case when coalesce(plate_detected and length(plate_text) >= 6, false) = false then 'UNUSABLE' when round(score, 9) >= 0.72 and det >= 0.70 and coalesce(ocr, det) >= 0.70 then 'HIGH' when round(score, 9) >= 0.55 then 'MEDIUM' else 'LOW' end as label from s"""
+    + """, c as (select vehicle_id, plate_text, plate_detected, cast(track_no % 100 as double) / 100 as det, case when track_no % 5 = 0 then null else cast(track_no * 7 % 100 as double) / 100 end as ocr, track_no % 2 = 0 as acc, case track_no % 7 when 0 then 'ocr_timeout' when 1 then 'Validated_x ' when 2 then null else 'completed' end as reason from v),
+    t as (select *, not (lower(trim(coalesce(reason, ''))) in ('', 'ocr_completed', 'completed') or starts_with(lower(trim(coalesce(reason, ''))), 'validated_')) as other from c),
+    s as (select *, case when plate_detected and length(plate_text) >= 6 and other then 0.15e0 when plate_detected and length(plate_text) >= 6 then 0.42e0 * det + 0.42e0 * coalesce(ocr, det) + 0.16e0 * case when acc then 1.0e0 else 0.35e0 end else 0 end as score from t)
+    select vehicle_id, round(score, 6) as score, case when coalesce(plate_detected and length(plate_text) >= 6, false) = false then 'UNUSABLE' when other then 'LOW' when round(score, 9) >= 0.72 and det >= 0.70 and coalesce(ocr, det) >= 0.70 then 'HIGH' when round(score, 9) >= 0.55 then 'MEDIUM' else 'LOW' end as label from s"""
 )
 def plate_reliability(spark, sf_dir):
     det, ocr = (F.col("track_no") % 100).cast("double") / 100, F.when(F.col("track_no") % 5 != 0, (F.col("track_no") * 7 % 100).cast("double") / 100)
-    score, label = plates.reliability(F.col("plate_text"), F.col("plate_detected"), det, ocr, F.col("track_no") % 2 == 0)
+    seventh = F.col("track_no") % 7
+    reason = F.when(seventh == 0, "ocr_timeout").when(seventh == 1, "Validated_x ").when(seventh != 2, "completed")
+    score, label = plates.reliability(F.col("plate_text"), F.col("plate_detected"), det, ocr, F.col("track_no") % 2 == 0, reason)
     return vehicle_records(spark, sf_dir).select("vehicle_id", F.round(score, 6).alias("score"), label.alias("label"))

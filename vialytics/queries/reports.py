@@ -50,13 +50,15 @@ def import_orphans(spark, sf_dir):
 
 @query(
     ALL
-    + """, r as (select *, concat(camera_id, ':TRACK_', cast(track_no % 500 as varchar)) as track_id from v),
-    n as (select *, row_number() over (partition by run_id, track_id order by track_no) as place from r)
-    select track_no, case when place = 1 then concat(run_id, '/', track_id) else concat(run_id, '/', track_id, '__DUPLICATE_', cast(place as varchar), '_', status) end as unique_key from n"""
+    + """, r as (select *, concat(run_id, '/', camera_id, ':TRACK_', cast(track_no % 500 as varchar)) as track_id from v),
+    n as (select *, row_number() over g as place, count(*) over k as n, count(*) filter (status = 'COMPLETED') over k as done from r window g as (partition by track_id order by track_no), k as (partition by track_id)),
+    f as (select *, n = 1 or (status = 'COMPLETED' and done = 1) as keeps from n)
+    select track_no, case when keeps then track_id else concat(track_id, '__DUPLICATE_', cast(place as varchar), '_', status) end as unique_key,
+    case when keeps then null when status = 'COMPLETED' then 'duplicate_completed_logical_track_identity' else 'duplicate_noncanonical_track_identity_remapped' end as issue from f"""
 )
 def import_duplicates(spark, sf_dir):
     rows = vehicle_records(spark, sf_dir).withColumn("track_id", F.concat("run_id", F.lit("/"), "camera_id", F.lit(":TRACK_"), (F.col("track_no") % 500).cast("string")))
-    return imports.numbered_duplicates(rows, "track_id", "track_no").select("track_no", "unique_key")
+    return imports.numbered_duplicates(rows, "track_id", "track_no").select("track_no", "unique_key", "issue")
 
 
 _SPANS = ALL + ", t as (select camera_id, owner, track_no, first_seen_seconds as a, first_seen_seconds + 40 as b, status from v where run_id = 'RUN_1'), r as (select track_no as ref_id, camera_id, owner, first_seen_seconds + 20 as f from v where run_id = 'RUN_1') "

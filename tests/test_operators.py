@@ -9,9 +9,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vialytics.functions import plates as plate_text
 from vialytics.functions.predicates import compare
-from vialytics.operators import evidence, imports, intervals, plates, reconcile, reid, tracks
+from vialytics.operators import evidence, identity, imports, intervals, plates, reconcile, reid, tracks
 from vialytics.plans.compiler import condition
 from vialytics.plans.plan import from_payload, none_of, where
+from vialytics.sources import runs
 from vialytics.streaming import stateful
 
 
@@ -159,3 +160,54 @@ def test_distribution_counts_far_pairs_too(spark, monkeypatch):
         assert (r.n, r.least, r.most) == (len(values), min(values), max(values))
         assert (r.mean, r.median) == pytest.approx((statistics.fmean(values), statistics.median(values)), abs=1e-12)
     assert reid.all_pairs_distribution(units.limit(0), units).count() == 0
+
+
+def test_plate_evidence_follows_the_rules(spark):
+    rows = [
+        ("HR12AB1234", "HIGH", "HR12AB1234", "HIGH", 0.5, None), ("HR12AB1234", "HIGH", "HR12AB1234", "HIGH", 0.9, "time_gap_too_large"), ("HR12AB1234", "HIGH", "HR12AB1234", "HIGH", 0.5, "different_camera"),
+        ("HR12AB1234", "HIGH", "DL98XY7765", "HIGH", 0.9, None), ("HR12AB1234", "MEDIUM", "HR12AB1235", "HIGH", 0.9, None), ("HR12AB1O34", "HIGH", "HR12AB1034", "HIGH", 0.5, None),
+        ("HR12AB1234", "HIGH", "HR12AB9834", "HIGH", 0.1, None), ("HR12AB1234", "LOW", "HR12AB1234", "HIGH", 0.4, None), (None, "HIGH", "HR12AB1234", "HIGH", 0.4, "time_gap_too_large"), ("", "HIGH", "X", "LOW", None, None),
+    ]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, plate_a string, quality_a string, plate_b string, quality_b string, score double, rejection string")
+    got = identity.plate_adjusted(identity.plate_relations(frame)).orderBy("i").collect()
+    assert [(r.evidence, r.score, r.rejection) for r in got] == [
+        ("STRONG_POSITIVE", 0.98, None), ("STRONG_POSITIVE", 1.24, None), ("GEOMETRY_BLOCKED_PLATE_MATCH", 0.5, "different_camera"),
+        ("STRONG_NEGATIVE", 0.0, "REJECTED_BY_PLATE_CONTRADICTION"), ("PARTIAL_POSITIVE", 1.0, None), ("PARTIAL_POSITIVE", 0.68, None),
+        ("WEAK_NEGATIVE", 0.0, None), ("NEUTRAL", 0.4, None), ("NEUTRAL", 0.4, "time_gap_too_large"), ("NEUTRAL", 0.0, None),
+    ]
+
+
+def test_completed_duplicates_keep_or_lose_their_key(spark):
+    rows = [("a", "DISCARDED", 1), ("a", "COMPLETED", 2), ("b", "COMPLETED", 1), ("b", "COMPLETED", 2), ("c", None, 1), ("d", "DISCARDED", 1), ("d", "", 2)]
+    got = imports.numbered_duplicates(spark.createDataFrame(rows, "k string, status string, no int"), "k", "no").orderBy("k", "no").collect()
+    assert [r.unique_key for r in got] == ["a__DUPLICATE_1_DISCARDED", "a", "b__DUPLICATE_1_COMPLETED", "b__DUPLICATE_2_COMPLETED", "c", "d__DUPLICATE_1_DISCARDED", "d__DUPLICATE_2_UNKNOWN"]
+    assert [(r.issue or "").split("_")[1:2] for r in got] == [["noncanonical"], [], ["completed"], ["completed"], [], ["noncanonical"], ["noncanonical"]]
+
+
+def test_references_without_a_candidate_stay(spark):
+    refs = spark.createDataFrame([(1, "x", 5), (2, "y", 5)], "ref_id int, owner string, frame_number int")
+    tracks = spark.createDataFrame([("x", 7, 1, 9, "COMPLETED")], "owner string, track_no int, first_frame int, last_frame int, status string")
+    assert sorted(map(tuple, imports.resolved(refs, tracks, ["owner"]).collect()), key=str) == [(1, 7, "containment"), (2, None, "unresolved")]
+
+
+def test_run_folders_are_found_read_and_written(spark, tmp_path):
+    import json
+
+    for name, tracks in (("run_1", [{"camera_id": "c", "local_track_id": "t", "status": "COMPLETED", "extra": 1}]), ("run_2", [{"run_id": "named", "local_track_id": "u", "first_frame": 3}])):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "tracks.json").write_text(json.dumps(tracks))
+    (tmp_path / "run_1" / "observations.csv").write_text("camera_id,frame_number,x1,other\nc,4,1.5,z\nc,bad,2,z\n")
+    (tmp_path / "run_2" / "events.jsonl").write_text('{"frame_number": 1, "event": "start"}\n{"frame_number": 2, "event": "end"}\n')
+    root = f"file://{tmp_path}"
+    assert runs.run_folders(spark, root) == ["run_2", "run_1"] and runs.selected(spark, root, "latest") == ["run_2"]
+    with pytest.raises(ValueError):
+        runs.selected(spark, root, "run_9")
+    assert sorted((r.run_id, r.local_track_id, r.first_frame) for r in runs.read_tracks(spark, root).collect()) == [("1", "t", None), ("named", "u", 3)]
+    assert sorted((r.run_id, r.frame_number, r.x1) for r in runs.read_observations(spark, root).collect() if r.frame_number) == [("1", 4, 1.5)]
+    assert runs.read_observations(spark, root).count() == 2 and runs.read_observations(spark, root, "run_2").count() == 0
+    assert [r.event for r in runs.read_events(spark, root).orderBy("frame_number").collect()] == ["start", "end"]
+    out = f"{root}/out"
+    runs.write_run(runs.read_tracks(spark, root), out, "json")
+    runs.write_run(runs.read_tracks(spark, root, "run_1"), out, "json")
+    assert sorted(str(r.run_id) for r in spark.read.json(out).collect()) == ["1", "named"]

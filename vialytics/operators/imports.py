@@ -44,6 +44,16 @@ def resolved(references: DataFrame, tracks: DataFrame, keys: list[str]) -> DataF
     return found.select("ref_id", F.when(F.col("around") == 1, F.col("a")).when(F.col("done") == 1, F.col("c")).otherwise(F.col("first")).alias("track_no"), how.alias("how"))
 
 
+def relative_paths(rows: DataFrame, path: str, folder: str) -> DataFrame:
+    """rows with relative and kind: paths inside folder lose it; outside it, or with a step upwards, they have no relative path."""
+    p = F.col(path)
+    inside, rooted, upwards = p.startswith(folder), p.startswith("/"), p.contains("..")
+    bad = upwards | (rooted & ~inside)
+    relative = F.when(~bad, F.when(inside, F.substring(p, len(folder) + 1, 1 << 20)).otherwise(p))
+    kind = F.when(upwards, "invalid").when(inside, "inside").when(rooted, "outside").otherwise("relative")
+    return rows.withColumns({"relative": relative, "kind": kind})
+
+
 def issue_table(*found: tuple[DataFrame, str, str]) -> DataFrame:
     """(severity, code, rows): how often each check (rows that fail it, severity, code) fails; checks that hold have no row."""
     counts = [rows.agg(F.count("*").alias("rows")).select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "rows") for rows, severity, code in found]

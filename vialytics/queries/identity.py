@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import identity
 from ..sources.testdata import OBSERVATIONS, VEHICLES, observations, vehicle_records
@@ -41,8 +42,7 @@ _ROLLUP = (
     string_agg(distinct camera_id, ',' order by camera_id) as camera_ids, string_agg(track_id, ',' order by first_frame, track_id) as member_track_ids, arg_min(camera_id, (first_frame, track_id)) as primary_camera_id,
     min(plate_text) filter (plate_quality = 'HIGH') as plate_text, coalesce(max(plate_confidence) filter (plate_quality = 'HIGH'), 0) as plate_confidence,
     max(case plate_quality when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end) as q from m group by 1, 2),
-    r as (select * exclude (q), case q when 3 then 'HIGH' when 2 then 'MEDIUM' when 1 then 'LOW' else 'UNUSABLE' end as plate_quality, case when member_track_count > 1 then 'MERGED' else 'SINGLE_TRACK' end as identity_status,
-    vehicle_class, colour from a join ({_vote("vehicle_class")}) x using (run_id, owner) join ({_vote("colour")}) y using (run_id, owner)) """
+    r as (select * exclude (q), case q when 3 then 'HIGH' when 2 then 'MEDIUM' when 1 then 'LOW' else 'UNUSABLE' end as plate_quality, case when member_track_count > 1 then 'MERGED' else 'SINGLE_TRACK' end as identity_status from a join ({_vote("vehicle_class")}) x using (run_id, owner) join ({_vote("colour")}) y using (run_id, owner)) """
 )
 
 
@@ -69,8 +69,6 @@ _PAIRS = f"with v as ({VEHICLES}), n as (select *, lead(track_no) over (partitio
 
 
 def _pairs(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     own = Window.partitionBy("run_id", "owner").orderBy("track_no")
     after = {n: F.lead(c).over(own) for n, c in {"b": "track_no", "bc": "vehicle_class", "bk": "colour", "bp": "plate_text"}.items()}
     return vehicle_records(spark, sf_dir).withColumns(after).where("b is not null")

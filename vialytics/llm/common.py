@@ -60,8 +60,15 @@ def sweep(spark: SparkSession, *broadcasts) -> None:
     spark._jvm.System.gc()
 
 
-def give_back() -> None:
-    """Return memory that this Python worker no longer uses: workers are reused, and an executor's memory is shared."""
+#: Caches of this Python worker that outlive a task, by name: how each is emptied.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def give_back(keep: str | None = None) -> None:
+    """Empty all caches but `keep` and return unused memory: workers are reused, and an executor's memory is shared."""
+    for name, clear in CACHES.items():
+        if name != keep:
+            clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -69,17 +76,17 @@ def give_back() -> None:
         trim(0)
 
 
-def frugal(run: Callable, *caches: dict) -> Callable:
-    """run for mapInArrow; when its task ends, the caches are emptied and unused memory is given back."""
+def frugal(run: Callable, keep: str | None = None) -> Callable:
+    """run for mapInArrow. Caches that other operators left go when its task begins, unused memory when it ends."""
 
     @functools.wraps(run)
     def task(it):
+        if any(name != keep for name in CACHES):
+            give_back(keep)
         try:
             yield from run(it)
         finally:
-            for cache in caches:
-                cache.clear()
-            give_back()
+            give_back(keep)
 
     return task
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_tokenizer
-from .common import arrow_rows, batches, fresh, frugal, give_back, materialize
+from .common import CACHES, arrow_rows, batches, fresh, frugal, give_back, materialize
 
 SEQUENCE = 4096
 GROUP_PIECES = 4096
@@ -28,7 +28,7 @@ END_ID = 2
 #: digit is a word of its own to the tokenizer, so a space before it changes nothing and lets words share cache entries.
 CLOSING = re.compile(rb"(?<=[a-z0-9])(?=[.,!?;:]+(?:[ \t\n\r\x0b\x0c]|$))")
 PLAIN = re.compile(rb"[a-z]+")
-#: A task's cache of words is emptied at this many bytes (keys and ids, and OVERHEAD for each entry) and when it ends.
+#: A worker's cache of words is emptied at this many bytes (keys and ids, and OVERHEAD for each entry) and by other operators.
 CACHE_BYTES, OVERHEAD, CACHE_CHARS = 96 << 20, 150, 48
 
 
@@ -119,6 +119,7 @@ def _tokenizer(source: Broadcast) -> WordTokenizer:
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = WordTokenizer(source.value)
+        CACHES["words"] = _WORKER[key].clear
     return _WORKER[key]
 
 
@@ -166,14 +167,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id:
                         out.append((i, at // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4, cut)[: len(schema)])
                 yield arrow_rows(schema, **dict(zip(schema.names, zip(*out))))
 
-    def task(it):
-        try:
-            yield from run(it)
-        finally:
-            _tokenizer(source).clear()  # the tokenizer stays, its cache does not
-
     cols = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    return cols.mapInArrow(frugal(task), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return cols.mapInArrow(frugal(run, "words"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def pack(items: DataFrame, length: int = SEQUENCE, group_size: int = GROUP_PIECES, seed: int = 7) -> DataFrame:

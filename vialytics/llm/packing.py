@@ -98,13 +98,18 @@ class WordTokenizer:
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
-        new = _learn(self, missing) if (missing := set().union(*split).difference(self.cache)) else {}
-        for w, v in new.items():
-            if len(w) <= CACHE_CHARS:
-                self.cache[w] = v
-                self.size += len(w) + len(v) + OVERHEAD
-        get = self.cache.get
-        out = [b"".join([v if (v := get(w)) is not None else new[w] for w in ws]) for ws in split]
+        long = {}
+        if missing := set().union(*split).difference(self.cache):
+            new = _learn(self, missing)
+            long = {w: v for w, v in new.items() if len(w) > CACHE_CHARS}
+            kept = {w: v for w, v in new.items() if w not in long} if long else new
+            self.cache.update(kept)
+            self.size += sum(map(len, kept)) + sum(map(len, kept.values())) + OVERHEAD * len(kept)
+        if long:
+            get = self.cache.get
+            out = [b"".join([v if (v := get(w)) is not None else long[w] for w in ws]) for ws in split]
+        else:
+            out = [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
         if self.size >= CACHE_BYTES:
             self.clear()
         return out
@@ -130,10 +135,17 @@ def _learn(own: WordTokenizer, words: set[bytes]) -> dict[bytes, bytes]:
     Words that only lowering made look like an added token go to the tokenizer in upper case, which it lowers itself.
     """
     tok, ends = own.tok, own.ends
-    plain = [w for w in words if PLAIN.fullmatch(w)]
-    new = {w: own.added[w[1:].decode()] for w in words if w[:1] == b" "}
-    rest = [w for w in words if w[:1] != b" " and not PLAIN.fullmatch(w)]
-    sent = [w.upper().decode() if own.split_added.search(w.decode()) else w.decode() for w in rest]
+    plain, rest, new = [], [], {}
+    for w in words:
+        if PLAIN.fullmatch(w):
+            plain.append(w)
+        elif w[:1] == b" ":
+            new[w] = own.added[w[1:].decode()]
+        else:
+            rest.append(w)
+    sent = b" ".join(rest).decode().split(" ")[: len(rest)]
+    if own.split_added.search(" ".join(sent)):
+        sent = [x.encode().upper().decode() if own.split_added.search(x) else x for x in sent]
     new.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, tok.encode_batch_fast(sent, add_special_tokens=False)))
     if plain:
         ids = np.array(tok.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype="<u4")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, warc
+from . import alignment, bpe, exact_dedup, language_id, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -65,7 +65,12 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_sentences", "n_removed", "to_json(removed) as removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text under two tokenizers: groups of tokens that end at the same bytes, links and how frequent these are."""
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup, op11_alignment)}
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 

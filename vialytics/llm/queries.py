@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, exact_dedup, language_id, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, warc
+from . import alignment, bpe, exact_dedup, language_id, lexical_search, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -70,11 +70,27 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup, op11_alignment)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of all that score highest for each benchmark item."""
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
+
+QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup, op11_alignment, op12_lexical_search)}
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 ORACLE_SQL = {
+    "op12_lexical_search": f"""
+        with d as (select doc_id, {_TERMS} as ts from documents where text is not null),
+             q as (select distinct item_id, unnest({_TERMS}) as term from benchmark where text is not null),
+             size as (select count(*) as docs, sum(len(ts)) as words from d where len(ts) > 0),
+             t as (select doc_id, n, term, count(*) as tf from (select doc_id, len(ts) as n, unnest(ts) as term from d) group by all),
+             w as (select term, cast(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from t, size where term in (select term from q) group by term),
+             s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) as bigint) as score
+                   from q join w using (term) join t using (term), size group by item_id, doc_id)
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+        from s where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10""",
     "op6_exact_dedup": f"""
         select doc_id, min(doc_id) over g as keep_id, cast(count(*) over g as bigint) as group_size,
                doc_id = min(doc_id) over g as kept, sha256({_NORM}) as text_sha256

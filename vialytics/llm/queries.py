@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, exact_dedup, language_id, lexical_search, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, warc
+from . import alignment, bpe, exact_dedup, language_id, lexical_search, metric_join, ngram_join, packing, span_dedup, token_counts, toxicity, vector_search, warc
 from .common import table
 
 
@@ -75,7 +75,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup, op11_alignment, op12_lexical_search)}
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found, by inner product, of each vector whose id is divisible by 20."""
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_metric_join, op2_bpe, op3_packing, op4_ngram_join, op5_warc, op6_exact_dedup, op7_token_counts, op8_toxicity, op9_language_id, op10_span_dedup, op11_alignment, op12_lexical_search, op13_vector_search)}
 
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"

@@ -70,7 +70,7 @@ def plain(rows):
 @pytest.mark.parametrize("frequent", [alignment.FREQUENT, 20])
 def test_report_equals_plain_loops(spark, monkeypatch, frequent):
     monkeypatch.setattr(alignment, "FREQUENT", frequent)
-    monkeypatch.setattr(alignment, "CACHE_CHARS", 300)
+    monkeypatch.setattr(alignment, "SLICE", 300)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "a"), (3, "a"), (None, "hello")]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row string, links int").repartition(3)
     got = alignment.alignment_report(docs, *PATHS)

@@ -2,7 +2,7 @@
 
 Python only encodes: each text becomes the ids and the end offsets (in bytes) of its tokens under a byte-level BPE (A)
 and a sentencepiece model (B). The rest are Spark's higher-order functions: `array_intersect` of the two lists of ends
-finds the offsets where tokens of both end, which cut the tokens into groups; `transform` and `sequence` list the tokens
+finds the offsets where tokens of both end, which cut the tokens into groups; `transform`, `zip_with` and `slice` list the tokens
 and links of each group. How many documents hold a pair of ids is counted over all documents; the most frequent pairs,
 whose number is bounded by a share of the total, are looked up by broadcast, all others by a shuffled join.
 
@@ -13,82 +13,66 @@ do in the input, each counts as a document of its own; a null doc_id stays null.
 
 from __future__ import annotations
 
-import re
+import hashlib
+import json
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPANS, ByteBPE, read_tokenizer
+from .bpe import PIECES, ByteBPE, read_tokenizer
 from .common import CACHES, batches, frugal, materialize, sweep
 
-#: Encoded spans kept by a Python worker, in characters of their texts; longer spans are encoded each time.
-CACHE_CHARS, SPAN_CHARS = 6_000_000, 48
 #: At most so many pairs of ids are broadcast: those whose count is at least the sum of all counts divided by it.
 FREQUENT = 100_000
 #: Bits of B's id in a pair, as one long.
 B_BITS = 24
 #: Texts encoded at once, in characters.
 SLICE = 1 << 20
-#: No B token holds a space after another character, so merges never cross these spans of " " + text.
-_WORDS = re.compile(r" +[^ ]*")
 _TOKENS = pa.schema([("doc_id", pa.int64())] + [(f"{t}_{c}", pa.list_(pa.int32())) for t in "ab" for c in ("ids", "ends")])
 
 
-class SpanCache(dict):
-    """Span -> (ids, lengths in bytes, whether the tokens' bytes joined are the span's); emptied when full."""
-
-    def __init__(self, encode: Callable[[str], list[int]], token_bytes: list[bytes]):
-        super().__init__()
-        self.encode, self.token_bytes, self.chars = encode, token_bytes, 0
-
-    def __missing__(self, span: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
-        ids = self.encode(span)
-        parts = [self.token_bytes[i] for i in ids]
-        made = tuple(ids), tuple(map(len, parts)), b"".join(parts) == span.encode()
-        if len(span) <= SPAN_CHARS:
-            if self.chars > CACHE_CHARS:
-                self.clear()
-                self.chars = 0
-            self.chars += len(span) + 16
-            self[span] = made
-        return made
-
-    def tokens(self, spans: list[str]) -> tuple[list[int], np.ndarray] | None:
-        """(ids, ends) of a text given as its spans; None if the tokens do not spell it."""
-        found = [self[s] for s in spans]
-        ids = list(chain.from_iterable([f[0] for f in found]))
-        if not all(f[2] for f in found) and b"".join([self.token_bytes[i] for i in ids]) != "".join(spans).encode():
-            return None
-        return ids, np.cumsum(np.fromiter(chain.from_iterable([f[1] for f in found]), dtype=np.int32, count=len(ids)), dtype=np.int32)
-
-
-def byte_level(source: str) -> SpanCache:
-    """Cache of tokenizer A from its JSON text; added tokens' strings are plain text."""
-    bpe = ByteBPE(source)
-    token_bytes = [b""] * (1 + max(map(int, bpe.strings)))
-    for i, s in bpe.strings.items():
-        token_bytes[int(i)] = s
-    return SpanCache(lambda span: [int(i) for i in bpe.span_ids(span).split(",")], token_bytes)
-
-
-def pieces(model: bytes) -> SpanCache:
-    """Cache of tokenizer B, a sentencepiece model that puts a space in front of what it encodes."""
-    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-    names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
-    token_bytes = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-    if any(re.search("[^▁]▁", n) for n in names):
-        raise ValueError("the model has pieces that cross words")
-    lone = sp.piece_to_id("▁")
-    return SpanCache(lambda span: sp.encode(span[1:]) if len(span) > 1 else [lone], token_bytes)
-
-
-_LOADED: dict[str, tuple[object, SpanCache, SpanCache]] = {}
+class ByteLevel:
+    """Tokenizer A from its JSON text. A merge's rank is its id, so the library for rank files gives the same ids; added tokens' strings are plain text."""
+
+    def __init__(self, source: str):
+        strings = ByteBPE(source).strings
+        added = {str(t["id"]) for t in json.loads(source)["added_tokens"]}
+        ranks = {s: int(i) for i, s in strings.items() if i not in added}
+        self.library = tiktoken.Encoding("own", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = np.zeros(1 + max(map(int, strings)), np.int32)
+        self.lengths[[*ranks.values()]] = [len(s) for s in ranks]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.library.encode_ordinary(" " + t) for t in texts]
+
+    def spelled(self, ids: list[int]) -> bytes:
+        return self.library.decode_bytes(ids)
+
+
+class Pieces:
+    """Tokenizer B, a sentencepiece model that puts a space in front of what it encodes."""
+
+    def __init__(self, model: bytes):
+        self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
+        self.bytes = [bytes([int(n[3:5], 16)]) if sp.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.lengths = np.array([len(x) for x in self.bytes], np.int32)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.library.encode(texts, num_threads=1)
+
+    def spelled(self, ids: list[int]) -> bytes:
+        return b"".join([self.bytes[i] for i in ids])
+
+
+_LOADED: dict[str, tuple[ByteLevel, Pieces]] = {}
 CACHES["alignment"] = _LOADED.clear
 
 
@@ -100,7 +84,7 @@ def tokenize(docs: DataFrame, byte_bpe_path: str, piece_path: str) -> DataFrame:
 
     def run(it):
         for ids, texts in batches(it, "doc_id", "text"):
-            a, b = _caches(a_source, b_source)
+            both = _loaded(a_source, b_source)
             lo = 0
             while lo < len(texts):
                 part, size, hi = [], 0, lo
@@ -108,37 +92,37 @@ def tokenize(docs: DataFrame, byte_bpe_path: str, piece_path: str) -> DataFrame:
                     part.append(texts[hi].as_py() or "")
                     size += len(part[-1])
                     hi += 1
-                yield _encoded(ids.slice(lo, hi - lo), part, a, b)
+                yield _encoded(ids.slice(lo, hi - lo), part, both)
                 lo = hi
 
     cols = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     return cols.mapInArrow(frugal(run, "alignment"), "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
 
 
-def _caches(a_source: Broadcast, b_source: Broadcast) -> tuple[SpanCache, SpanCache]:
-    """One pair of caches for each Python worker."""
-    key = f"{len(a_source.value)} {len(b_source.value)} {hash(a_source.value)} {hash(b_source.value)}"
+def _loaded(a_source: Broadcast, b_source: Broadcast) -> tuple[ByteLevel, Pieces]:
+    """One pair of tokenizers for each Python worker."""
+    key = hashlib.md5(a_source.value.encode() + b_source.value).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = byte_level(a_source.value), pieces(b_source.value)
+        _LOADED[key] = ByteLevel(a_source.value), Pieces(b_source.value)
     return _LOADED[key]
 
 
-def _encoded(ids: pa.Array, texts: list[str], a: SpanCache, b: SpanCache) -> pa.RecordBatch:
-    flat, ends, offsets = ([], []), ([], []), ([0], [0])
-    for text in texts:
-        spaced = " " + text
-        found = (a.tokens(SPANS.findall(spaced)), b.tokens(_WORDS.findall(spaced))) if text else (None, None)
-        ok = None not in found
-        for k in range(2):
-            if ok:
-                flat[k].extend(found[k][0])
-                ends[k].append(found[k][1])
-            offsets[k].append(len(flat[k]))
-    columns = [ids]
-    for k in range(2):
-        at = pa.array(offsets[k], pa.int32())
-        columns += [pa.ListArray.from_arrays(at, pa.array(np.array(flat[k], dtype=np.int32))), pa.ListArray.from_arrays(at, pa.array(np.concatenate([*ends[k], np.zeros(0, np.int32)])))]
+def _encoded(ids: pa.Array, texts: list[str], both: tuple[ByteLevel, Pieces]) -> pa.RecordBatch:
+    coded = [t.encode(texts) for t in both]
+    columns, ok = [ids], []
+    for text, *found in zip(texts, *coded):
+        spaced = b" " + text.encode()
+        ok.append(bool(text) and all(t.spelled(f) == spaced for t, f in zip(both, found)))
+    for t, found in zip(both, coded):
+        found = [f if o else [] for f, o in zip(found, ok)]
+        sizes = np.array([len(f) for f in found])
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sizes.sum())
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.concatenate([[0], np.cumsum(t.lengths[flat], dtype=np.int64)])
+        ends = ends[1:] - np.repeat(ends[at[:-1]], sizes)  # each text counts from its own start
+        at = pa.array(at.astype(np.int32))
+        columns += [pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32)))]
     return pa.RecordBatch.from_arrays(columns, schema=_TOKENS)
 
 
@@ -147,44 +131,62 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _token_at(ends: Column) -> Column:
-    """For each byte the place (from 0) of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda end, i: F.array_repeat(i, (end - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)).cast("int"))))
+def _after(stops: Column) -> Column:
+    """0, then stops: what stands before each of them."""
+    return F.concat(F.array(F.lit(0)), stops)
+
+
+def _stops(ends: Column, cuts: Column) -> Column:
+    """For each cut the number of tokens that end there or before: a list of that number for each byte, looked up at the cuts."""
+    by_byte = F.flatten(_let(_after(ends), lambda begins: F.transform(ends, lambda end, i: F.array_repeat(i + 1, end - F.get(begins, i)))))
+    return _let(by_byte, lambda tokens: F.transform(cuts, lambda cut: F.get(tokens, cut - 1)))
+
+
+class _Groups:
+    """The groups of a row of `tokenize`: a and b hold how many tokens end at each cut or before, both their sums, after these shifted by one."""
+
+    def __init__(self, a: Column, b: Column, both: Column, after: Column):
+        self.a, self.b, self.both, self.after = a, b, both, after
 
+    def each(self, one: Callable[[Column, Column], Column], more: Callable[[Column, Column], Column]) -> Column:
+        """one(a, b) of a group's two ids where it has just two, else more(ids of A, ids of B); an array over the groups."""
+        ids = F.col("a_ids"), F.col("b_ids")
 
-def _last_tokens(ends: Column, cuts: Column) -> Column:
-    """For each cut the number of tokens that end there or before."""
-    return _let(_token_at(ends), lambda at: F.transform(cuts, lambda cut: F.get(at, cut - 1) + 1))
+        def many(i: Column) -> Column:
+            begin = lambda stops: F.when(i > 0, F.get(stops, i - 1)).otherwise(0)
+            return more(*(F.slice(x, begin(stops) + 1, F.get(stops, i) - begin(stops)) for x, stops in zip(ids, (self.a, self.b))))
 
+        def last(i: Column) -> list[Column]:
+            return [F.get(x, F.get(stops, i) - 1) for x, stops in zip(ids, (self.a, self.b))]
 
-def _slices(ids: Column, stops: Column) -> Column:
-    """ids cut after each of stops."""
-    return F.transform(stops, lambda stop, i: _let(F.when(i > 0, F.get(stops, i - 1)).otherwise(0), lambda start: F.slice(ids, start + 1, stop - start)))
+        return F.transform(self.both, lambda stop, i: F.when(stop - F.get(self.after, i) == 2, one(*last(i))).otherwise(many(i)))
 
+    def links(self) -> Column:
+        """A long for each pair of an A and a B token occurrence of one group: A's id above B's."""
+        pair = lambda x, y: x * F.lit(1 << B_BITS).cast("long") + y
+        return F.flatten(self.each(lambda x, y: F.array(pair(x, y)), lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y))))))
 
-def groups() -> Column:
-    """array<struct<a array<int>, b array<int>>> of a row of `tokenize`: the groups' ids."""
-    cuts = F.array_intersect("a_ends", "b_ends")
-    both = _let(cuts, lambda c: F.struct(_slices(F.col("a_ids"), _last_tokens(F.col("a_ends"), c)).alias("a"), _slices(F.col("b_ids"), _last_tokens(F.col("b_ends"), c)).alias("b")))
-    return _let(both, lambda g: F.arrays_zip(g["a"].alias("a"), g["b"].alias("b")))
+    def text(self) -> Column:
+        """Groups as text: ids joined by commas, A's from B's by a bar, groups by semicolons."""
+        joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+        said = self.each(lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string")), lambda xs, ys: F.concat(joined(xs), F.lit("|"), joined(ys)))
+        return F.array_join(said, ";")
 
 
-def links_of(found: Column) -> Column:
-    """A long for each pair of an A and a B token occurrence of one group: A's id above B's."""
-    shift = F.lit(1 << B_BITS).cast("long")
-    return F.flatten(F.transform(found, lambda g: F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: x.cast("long") * shift + y)))))
+def with_groups(body: Callable[[_Groups], Column]) -> Column:
+    """body of the groups of a row of `tokenize`, which are computed once."""
 
+    def summed(a: Column, b: Column) -> Column:
+        return _let(F.zip_with(a, b, lambda x, y: x + y), lambda both: _let(_after(both), lambda after: body(_Groups(a, b, both, after))))
 
-def text_of(found: Column) -> Column:
-    """Groups as text: ids joined by commas, A's from B's by a bar, groups by semicolons."""
-    one = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    return F.array_join(F.transform(found, lambda g: F.concat(one(g["a"]), F.lit("|"), one(g["b"]))), ";")
+    cut = lambda cuts: _let(_stops(F.col("a_ends"), cuts), lambda a: _let(_stops(F.col("b_ends"), cuts), lambda b: summed(a, b)))
+    return _let(F.array_intersect("a_ends", "b_ends"), cut)
 
 
 def align(tokens: DataFrame) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, groups_sha256, links) for each row of `tokenize`, as a written table."""
     n = {c: F.size(ids).cast("long").alias(c) for c, ids in (("n_a", "a_ids"), ("n_b", "b_ids"))}
-    made = _let(groups(), lambda g: F.struct(F.size(g).cast("long").alias("n_groups"), F.sha2(text_of(g), 256).alias("sha"), links_of(g).alias("links")))
+    made = with_groups(lambda g: F.struct(F.size(g.a).cast("long").alias("n_groups"), F.sha2(g.text(), 256).alias("sha"), g.links().alias("links")))
     cut = tokens.select("doc_id", *n.values(), made.alias("made"))
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.col("made.sha")).alias("groups_sha256")
     return materialize(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "made.n_groups", digest, "made.links"), "align-links")

@@ -35,7 +35,7 @@ TREES, SAMPLE, LEAF = 4, 40_000, 100
 #: Queries that the budget is measured on, and the share of their true neighbours that its leaves must hold.
 MEASURED, TARGET = 64, 0.95
 #: Vectors and queries that one task joins.
-CELL, QUERIES = 8000, 4000
+CELL, QUERIES = 25_000, 2000
 _PLACED = pa.schema([("rep", pa.int64()), ("vector", pa.binary()), ("leaves", pa.list_(pa.int32()))])
 _PROBE = pa.schema([("cell", pa.int64()), ("rep", pa.int64()), ("vector", pa.binary()), ("wanted", pa.binary())])
 _FOUND = pa.schema([("rep", pa.int64()), ("near", pa.int64()), ("score", pa.float64())])

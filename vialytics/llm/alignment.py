@@ -148,29 +148,23 @@ class _Groups:
     def __init__(self, a: Column, b: Column, both: Column, after: Column):
         self.a, self.b, self.both, self.after = a, b, both, after
 
-    def each(self, one: Callable[[Column, Column], Column], more: Callable[[Column, Column], Column]) -> Column:
-        """one(a, b) of a group's two ids where it has just two, else more(ids of A, ids of B); an array over the groups."""
-        ids = F.col("a_ids"), F.col("b_ids")
+    def said_and_linked(self) -> Column:
+        """array<struct<said string, links array<long>>> over the groups: its ids as text, and a long for each pair of an A
+        and a B token occurrence, A's id above B's. Most groups are one token of each, which need no lists."""
+        ids, step = (F.col("a_ids"), F.col("b_ids")), F.lit(1 << B_BITS).cast("long")
+        joined = lambda of: F.array_join(of.cast("array<string>"), ",")
+        made = lambda said, links: F.struct(said.alias("said"), links.alias("links"))
+
+        def single(i: Column) -> Column:
+            x, y = (F.get(of, F.get(stops, i) - 1) for of, stops in zip(ids, (self.a, self.b)))
+            return made(F.concat(x.cast("string"), F.lit("|"), y.cast("string")), F.array(x * step + y))
 
         def many(i: Column) -> Column:
             begin = lambda stops: F.when(i > 0, F.get(stops, i - 1)).otherwise(0)
-            return more(*(F.slice(x, begin(stops) + 1, F.get(stops, i) - begin(stops)) for x, stops in zip(ids, (self.a, self.b))))
-
-        def last(i: Column) -> list[Column]:
-            return [F.get(x, F.get(stops, i) - 1) for x, stops in zip(ids, (self.a, self.b))]
-
-        return F.transform(self.both, lambda stop, i: F.when(stop - F.get(self.after, i) == 2, one(*last(i))).otherwise(many(i)))
-
-    def links(self) -> Column:
-        """A long for each pair of an A and a B token occurrence of one group: A's id above B's."""
-        pair = lambda x, y: x * F.lit(1 << B_BITS).cast("long") + y
-        return F.flatten(self.each(lambda x, y: F.array(pair(x, y)), lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y))))))
+            xs, ys = (F.slice(of, begin(stops) + 1, F.get(stops, i) - begin(stops)) for of, stops in zip(ids, (self.a, self.b)))
+            return made(F.concat(joined(xs), F.lit("|"), joined(ys)), F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: x * step + y))))
 
-    def text(self) -> Column:
-        """Groups as text: ids joined by commas, A's from B's by a bar, groups by semicolons."""
-        joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-        said = self.each(lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string")), lambda xs, ys: F.concat(joined(xs), F.lit("|"), joined(ys)))
-        return F.array_join(said, ";")
+        return F.transform(self.both, lambda stop, i: F.when(stop - F.get(self.after, i) == 2, single(i)).otherwise(many(i)))
 
 
 def with_groups(body: Callable[[_Groups], Column]) -> Column:
@@ -186,7 +180,9 @@ def with_groups(body: Callable[[_Groups], Column]) -> Column:
 def align(tokens: DataFrame) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, groups_sha256, links) for each row of `tokenize`, as a written table."""
     n = {c: F.size(ids).cast("long").alias(c) for c, ids in (("n_a", "a_ids"), ("n_b", "b_ids"))}
-    made = with_groups(lambda g: F.struct(F.size(g.a).cast("long").alias("n_groups"), F.sha2(g.text(), 256).alias("sha"), g.links().alias("links")))
+    # groups as text: ids joined by commas, A's from B's by a bar, groups by semicolons
+    told = lambda each: F.struct(F.size(each).cast("long").alias("n_groups"), F.sha2(F.array_join(each["said"], ";"), 256).alias("sha"), F.flatten(each["links"]).alias("links"))
+    made = with_groups(lambda groups: _let(groups.said_and_linked(), told))
     cut = tokens.select("doc_id", *n.values(), made.alias("made"))
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.col("made.sha")).alias("groups_sha256")
     return materialize(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "made.n_groups", digest, "made.links"), "align-links")

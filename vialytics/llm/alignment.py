@@ -2,7 +2,7 @@
 
 Python only encodes: each text becomes the ids and the end offsets (in bytes) of its tokens under a byte-level BPE (A)
 and a sentencepiece model (B). The rest are Spark's higher-order functions: `array_intersect` of the two lists of ends
-finds the offsets where tokens of both end, which cut the tokens into groups; `transform`, `zip_with` and `slice` list the tokens
+finds the offsets where tokens of both end, which cut the tokens into groups; `transform` and `filter` list the tokens
 and links of each group. How many documents hold a pair of ids is counted over all documents; the most frequent pairs,
 whose number is bounded by a share of the total, are looked up by broadcast, all others by a shuffled join.
 
@@ -35,7 +35,7 @@ FREQUENT = 100_000
 B_BITS = 24
 #: Texts encoded at once, in characters.
 SLICE = 1 << 20
-_TOKENS = pa.schema([("doc_id", pa.int64())] + [(f"{t}_{c}", pa.list_(pa.int32())) for t in "ab" for c in ("ids", "ends")])
+_TOKENS = pa.schema([("doc_id", pa.int64())] + [(f"{t}_{c}", pa.list_(pa.int32())) for t in "ab" for c in ("ids", "lengths", "ends")])
 
 
 class ByteLevel:
@@ -77,7 +77,7 @@ CACHES["alignment"] = _LOADED.clear
 
 
 def tokenize(docs: DataFrame, byte_bpe_path: str, piece_path: str) -> DataFrame:
-    """(doc_id, a_ids, a_ends, b_ids, b_ends), a row for each of docs; arrays are empty where a text has no tokens."""
+    """(doc_id, a_ids, a_lengths, a_ends, b_ids, b_lengths, b_ends), a row for each of docs; arrays are empty where a text has no tokens."""
     a_source = read_tokenizer(docs, byte_bpe_path)
     with open(piece_path, "rb") as f:
         b_source = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -96,7 +96,7 @@ def tokenize(docs: DataFrame, byte_bpe_path: str, piece_path: str) -> DataFrame:
                 lo = hi
 
     cols = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    return cols.mapInArrow(frugal(run, "alignment"), "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return cols.mapInArrow(frugal(run, "alignment"), "doc_id long, " + ", ".join(f"{t}_{c} array<int>" for t in "ab" for c in ("ids", "lengths", "ends")))
 
 
 def _loaded(a_source: Broadcast, b_source: Broadcast) -> tuple[ByteLevel, Pieces]:
@@ -119,10 +119,11 @@ def _encoded(ids: pa.Array, texts: list[str], both: tuple[ByteLevel, Pieces]) ->
         sizes = np.array([len(f) for f in found])
         flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=sizes.sum())
         at = np.concatenate([[0], np.cumsum(sizes)])
-        ends = np.concatenate([[0], np.cumsum(t.lengths[flat], dtype=np.int64)])
+        lengths = t.lengths[flat]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         ends = ends[1:] - np.repeat(ends[at[:-1]], sizes)  # each text counts from its own start
         at = pa.array(at.astype(np.int32))
-        columns += [pa.ListArray.from_arrays(at, pa.array(flat)), pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32)))]
+        columns += [pa.ListArray.from_arrays(at, pa.array(x)) for x in (flat, lengths, ends.astype(np.int32))]
     return pa.RecordBatch.from_arrays(columns, schema=_TOKENS)
 
 
@@ -131,58 +132,67 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _after(stops: Column) -> Column:
-    """0, then stops: what stands before each of them."""
-    return F.concat(F.array(F.lit(0)), stops)
-
-
-def _stops(ends: Column, cuts: Column) -> Column:
-    """For each cut the number of tokens that end there or before: a list of that number for each byte, looked up at the cuts."""
-    by_byte = F.flatten(_let(_after(ends), lambda begins: F.transform(ends, lambda end, i: F.array_repeat(i + 1, end - F.get(begins, i)))))
+def _last(token: str, cuts: Column) -> Column:
+    """For each cut the place (from 0) of the token that ends there: a list of each byte's token, looked up at the cuts."""
+    by_byte = F.flatten(F.transform(f"{token}_lengths", lambda n, i: F.array_repeat(i, n)))
     return _let(by_byte, lambda tokens: F.transform(cuts, lambda cut: F.get(tokens, cut - 1)))
 
 
 class _Groups:
-    """The groups of a row of `tokenize`: a and b hold how many tokens end at each cut or before, both their sums, after these shifted by one."""
+    """The groups of a row of `tokenize`. a and b hold the places of the tokens that end each group; codes a pair of ids,
+    A's above B's, for a group of one token of each (most are), else the group's number, counted down from -1."""
+
+    def __init__(self, a: Column, b: Column, codes: Column):
+        self.a, self.b, self.codes = a, b, codes
+
+    def ids(self, code: Column) -> list[Column]:
+        """The A and B ids of a group of several tokens."""
+        i = (-code - 1).cast("int")
+        before = lambda last: F.coalesce(F.get(last, i - 1), F.lit(-1))
+        return [F.slice(f"{t}_ids", before(last) + 2, F.get(last, i) - before(last)) for t, last in zip("ab", (self.a, self.b))]
+
+    def links(self) -> Column:
+        """A pair of ids for each A and B token occurrence of one group."""
+
+        def more(code: Column) -> Column:
+            xs, ys = self.ids(code)
+            return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: _pair(x, y))))
+
+        return F.concat(F.filter(self.codes, lambda c: c >= 0), F.flatten(F.transform(F.filter(self.codes, lambda c: c < 0), more)))
 
-    def __init__(self, a: Column, b: Column, both: Column, after: Column):
-        self.a, self.b, self.both, self.after = a, b, both, after
+    def text(self) -> Column:
+        """Groups as text: ids joined by commas, A's from B's by a bar, groups by semicolons."""
 
-    def said_and_linked(self) -> Column:
-        """array<struct<said string, links array<long>>> over the groups: its ids as text, and a long for each pair of an A
-        and a B token occurrence, A's id above B's. Most groups are one token of each, which need no lists."""
-        ids, step = (F.col("a_ids"), F.col("b_ids")), F.lit(1 << B_BITS).cast("long")
-        joined = lambda of: F.array_join(of.cast("array<string>"), ",")
-        made = lambda said, links: F.struct(said.alias("said"), links.alias("links"))
+        def said(code: Column) -> Column:
+            one = F.concat(F.shiftright(code, B_BITS).cast("string"), F.lit("|"), code.bitwiseAND(F.lit((1 << B_BITS) - 1)).cast("string"))
+            more = F.concat_ws("|", *(F.array_join(ids.cast("array<string>"), ",") for ids in self.ids(code)))
+            return F.when(code >= 0, one).otherwise(more)
 
-        def single(i: Column) -> Column:
-            x, y = (F.get(of, F.get(stops, i) - 1) for of, stops in zip(ids, (self.a, self.b)))
-            return made(F.concat(x.cast("string"), F.lit("|"), y.cast("string")), F.array(x * step + y))
+        return F.array_join(F.transform(self.codes, said), ";")
 
-        def many(i: Column) -> Column:
-            begin = lambda stops: F.when(i > 0, F.get(stops, i - 1)).otherwise(0)
-            xs, ys = (F.slice(of, begin(stops) + 1, F.get(stops, i) - begin(stops)) for of, stops in zip(ids, (self.a, self.b)))
-            return made(F.concat(joined(xs), F.lit("|"), joined(ys)), F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: x * step + y))))
 
-        return F.transform(self.both, lambda stop, i: F.when(stop - F.get(self.after, i) == 2, single(i)).otherwise(many(i)))
+def _pair(x: Column, y: Column) -> Column:
+    return x * F.lit(1 << B_BITS).cast("long") + y
 
 
 def with_groups(body: Callable[[_Groups], Column]) -> Column:
     """body of the groups of a row of `tokenize`, which are computed once."""
 
-    def summed(a: Column, b: Column) -> Column:
-        return _let(F.zip_with(a, b, lambda x, y: x + y), lambda both: _let(_after(both), lambda after: body(_Groups(a, b, both, after))))
+    def coded(a: Column, b: Column) -> Column:
+        both = F.zip_with(a, b, lambda x, y: x + y)  # one token of each: this grows by 2
+        single = lambda now, i, all_: now - F.when(i > 0, F.get(all_, i - 1)).otherwise(-2) == 2
+        code = lambda i: _pair(F.get("a_ids", F.get(a, i)), F.get("b_ids", F.get(b, i)))
+        codes = _let(both, lambda all_: F.transform(all_, lambda now, i: F.when(single(now, i, all_), code(i)).otherwise((-i - 1).cast("long"))))
+        return _let(codes, lambda c: body(_Groups(a, b, c)))
 
-    cut = lambda cuts: _let(_stops(F.col("a_ends"), cuts), lambda a: _let(_stops(F.col("b_ends"), cuts), lambda b: summed(a, b)))
+    cut = lambda cuts: _let(_last("a", cuts), lambda a: _let(_last("b", cuts), lambda b: coded(a, b)))
     return _let(F.array_intersect("a_ends", "b_ends"), cut)
 
 
 def align(tokens: DataFrame) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, groups_sha256, links) for each row of `tokenize`, as a written table."""
     n = {c: F.size(ids).cast("long").alias(c) for c, ids in (("n_a", "a_ids"), ("n_b", "b_ids"))}
-    # groups as text: ids joined by commas, A's from B's by a bar, groups by semicolons
-    told = lambda each: F.struct(F.size(each).cast("long").alias("n_groups"), F.sha2(F.array_join(each["said"], ";"), 256).alias("sha"), F.flatten(each["links"]).alias("links"))
-    made = with_groups(lambda groups: _let(groups.said_and_linked(), told))
+    made = with_groups(lambda g: F.struct(F.size(g.codes).cast("long").alias("n_groups"), F.sha2(g.text(), 256).alias("sha"), g.links().alias("links")))
     cut = tokens.select("doc_id", *n.values(), made.alias("made"))
     digest = F.when(F.col("n_a") == 0, "").otherwise(F.col("made.sha")).alias("groups_sha256")
     return materialize(cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "made.n_groups", digest, "made.links"), "align-links")

@@ -207,3 +207,48 @@ def test_rollup_counts_documents_by_their_own_texts(spark):
     assert totals(token_counts.corpus_rollup(docs, path, "v1")) == sums({0, 2, 3, 5, 7, 8}, "v1+end", 1)
     every = set(range(len(rows)))
     assert totals(token_counts.corpus_rollup(docs, path, "v1", whole=True)) == sums(every, "v1", 0) | sums(every, "v1+end", 1)
+
+
+def test_a_text_is_predicted_alike_alone_and_among_others(spark):
+    rng = random.Random(8)
+    model = language_id.fit_texts(*zip(*[(t, l) for _, t, l, _ in corpus(300)]), ["aa", "bb"])
+    texts = ["Je vais bien", "", "x", "Öl", "word", "zzz", "a", "ka", "schung öx", "ka lo " * 300, "1 2 3"] + ["".join(rng.choice("kalomitüß ß ") for _ in range(rng.randrange(1, 400))) for _ in range(200)]
+    alone = {}
+    for i, t in enumerate(texts):
+        w = Words([t])
+        post = model.posteriors(model.emissions(language_id.Features(w)), w.first)
+        alone[i] = post.tobytes()
+    for seed in range(3):
+        order = list(range(len(texts)))
+        random.Random(seed).shuffle(order)
+        w = Words([texts[i] for i in order])
+        post = model.posteriors(model.emissions(language_id.Features(w)), w.first)
+        assert all(np.ascontiguousarray(post[a:b]).tobytes() == alone[i] for i, a, b in zip(order, w.first[:-1], w.first[1:]))
+    frames = [spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").repartition(n) for n, order in ((1, range(len(texts))), (7, reversed(range(len(texts)))))]
+    one, two = ({r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(f, model).collect()} for f in frames)
+    assert one == two and len(one) == len(texts)
+
+
+def test_crf_gradients_equal_differences_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    k, length, count = 3, 7, 4
+    model = language_id.CRF(["a", "b", "c"])
+    model.moves = rng.normal(size=(k, k))
+    e, label = rng.normal(size=(length * count, k)), rng.integers(0, k, length * count)
+
+    def loss(e, moves):
+        total = 0.0
+        for s in range(count):
+            part, y = e[s * length : (s + 1) * length], label[s * length : (s + 1) * length]
+            v = part[0]
+            for t in range(1, length):
+                v = np.log(np.exp(v[:, None] + moves).sum(axis=0)) + part[t]
+            total += np.log(np.exp(v).sum()) - part[np.arange(length), y].sum() - moves[y[:-1], y[1:]].sum()
+        return total / count
+
+    ge, gm = language_id.errors(model, e, label, length)
+    for grad, x, f in ((ge, e, lambda x: loss(x, model.moves)), (gm, model.moves.copy(), lambda x: loss(e, x))):
+        for at in np.ndindex(*x.shape):
+            step = np.zeros_like(x)
+            step[at] = 1e-5
+            assert abs((f(x + step) - f(x - step)) / 2e-5 - grad[at]) < 1e-7

@@ -7,6 +7,7 @@ text that switches between languages; their mean over all words decides on a doc
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -24,6 +25,10 @@ TRAIN_DOCS, TRAIN_CHARS = 4_000, 40_000_000
 SEQUENCES, LENGTH, EPOCHS, BATCH, RATE, DECAY, SEED = 10_000, 24, 4, 250, 0.2, 1e-4, 5
 BLOCK = 64
 GRAMS, AFFIX, LEXICON = 1 << 16, 1 << 15, 1 << 17
+#: Weights are multiples of 1 / SCALE, probabilities are summed in multiples of 1 / PARTS; ids are dealt to 2^16 ranges of hashes.
+SCALE, PARTS, RANGE_BITS = 1 << 16, 1 << 40, 16
+#: More languages than this are taken for an error in the column.
+LANGUAGES = 1000
 #: A word belongs to a language's lexicon if it occurs at least so often, and so large a share of it in that language.
 LEAST, PURE = 3, 0.9
 UNKNOWN = "und"
@@ -42,7 +47,7 @@ class Features:
     def __init__(self, words: Words):
         raw = words.raw.astype(np.uint32)
         two = raw[:-2] | raw[1:-1] << 8
-        three = two | raw[2:] << 16
+        three = two | np.where(raw[1:-1] == 32, 32, raw[2:]) << 16  # behind a word's end nothing is read: the next word is not its feature
         self.two, self.three = two.astype(np.int32), _mixed(three, GRAMS) + GRAMS  # 256 * 256 pairs are as many as GRAMS
         last = np.maximum(words.end - 3, words.start)
         self.prefix = _mixed(three[words.start] ^ np.uint32(0x5BD1E995), AFFIX) + 2 * GRAMS
@@ -107,40 +112,67 @@ class CRF:
         alive = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
         alive = alive[alive > 0]
         xs = [x[:, begin[:m] + t] for t, m in enumerate(alive)]
+        # sums over languages go term by term: a column's value must not depend on how many columns there are
+        after = lambda v: _terms(a[i][:, None] * v[i] for i in range(k))
+        ahead = lambda v: _terms(a[:, j][:, None] * v[j] for j in range(k))
         # carry[i, j]: from value i before the block to value j at its end; no move leads to a sequence's first word
         carry = np.where(opening, np.eye(k)[:, :, None], a[:, :, None])
         for t, m in enumerate(alive):
-            carry[:, :, :m] = (np.matmul(a.T, carry[:, :, :m]) if t else carry[:, :, :m]) * xs[t]
+            moved = _terms(carry[:, i, None, :m] * a[i][:, None] for i in range(k)) if t else carry[:, :, :m]
+            carry[:, :, :m] = moved * xs[t]
         if len(order):
-            carry /= carry.sum(axis=(0, 1))
+            carry /= _terms(carry[i, j] for i in range(k) for j in range(k))
         before, behind = np.ones((k, len(order))), np.ones((k, len(order)))
         by_count = np.argsort(-blocks, kind="stable")
         most = int(blocks.max()) if len(blocks) else 0
         spots = [where[lead[by_count[: np.searchsorted(-blocks[by_count], -b, side="right")]] + b - 1] for b in range(1, most + 1)]
         for here, there in zip(spots[:-1], spots[1:]):
             here = here[: len(there)]
-            cur = np.einsum("in,ijn->jn", before[:, here], carry[:, :, here])
-            before[:, there] = cur / cur.sum(axis=0)
+            cur = _terms(before[i, here] * carry[i][:, here] for i in range(k))
+            before[:, there] = cur / _terms(cur)
         for here, there in zip(spots[-2::-1], spots[:0:-1]):
             here = here[: len(there)]
-            cur = np.einsum("ijn,jn->in", carry[:, :, there], behind[:, there])
-            behind[:, here] = cur / cur.sum(axis=0)
+            cur = _terms(carry[:, j][:, there] * behind[j, there] for j in range(k))
+            behind[:, here] = cur / _terms(cur)
         alpha, beta = np.empty_like(x), np.empty_like(x)
         for t, m in enumerate(alive):
-            cur = (np.where(opening[:m], before[:, :m], a.T @ before[:, :m]) if not t else a.T @ cur[:, :m]) * xs[t]
+            cur = (np.where(opening[:m], before[:, :m], after(before[:, :m])) if not t else after(cur[:, :m])) * xs[t]
             alpha[:, begin[:m] + t] = cur
         cur = behind.copy()
         for t in range(len(alive) - 1, -1, -1):
             m = alive[t]
             beta[:, begin[:m] + t] = cur[:, :m]
-            cur[:, :m] = a @ (xs[t] * cur[:, :m])
+            cur[:, :m] = ahead(xs[t] * cur[:, :m])
         return alpha, beta, x, a
 
     def posteriors(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(words, languages): probabilities of each word's languages."""
         alpha, beta, _, _ = self.forward_backward(e, first)
         out = alpha * beta
-        return (out / out.sum(axis=0)).T
+        return (out / _terms(out)).T if len(e) else out.T
+
+    def settle(self) -> None:
+        """Weights as multiples of 1 / SCALE: sums of them are exact, so a text's do not depend on the texts summed with it."""
+        for w in (self.weights, self.known, self.moves):
+            w[:] = np.rint(w * SCALE) / SCALE
+
+
+def _terms(parts) -> np.ndarray:
+    """The sum of parts, one after another."""
+    return functools.reduce(np.add, parts)
+
+
+def errors(model: CRF, e: np.ndarray, label: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the mean negative log-likelihood of sequences of `length` words: by emission (words, languages) and by move."""
+    k, count = e.shape[1], len(e) // length
+    alpha, beta, x, a = model.forward_backward(e, np.arange(count + 1) * length)
+    post = alpha * beta
+    gold = np.eye(k)[label]
+    shape = (count, length, k)
+    pair = alpha.T.reshape(shape)[:, :-1, :, None] * a * (x * beta).T.reshape(shape)[:, 1:, None, :]
+    pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
+    true = np.einsum("stc,std->cd", gold.reshape(shape)[:, :-1], gold.reshape(shape)[:, 1:])
+    return ((post / post.sum(axis=0)).T - gold) / count, (pair - true) / count
 
 
 def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
@@ -205,11 +237,7 @@ def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
             ids = ids_of[np.arange(int(width.sum())) + np.repeat(begin_of[spot] - first, width)]
             lex = model.lexicon[word[w]]
             e = np.add.reduceat(model.weights[ids], first, axis=0).astype(np.float64) + model.known[lex]
-            alpha, beta, x, a = model.forward_backward(e, np.arange(len(seq) + 1) * LENGTH)
-            post = alpha * beta
-            post = (post / post.sum(axis=0)).T
-            gold = np.eye(k)[label[w]]
-            g = (post - gold) / len(seq)
+            g, gm = errors(model, e, label[w], LENGTH)
             used, inverse = np.unique(ids, return_inverse=True)
             spread = np.repeat(g, width, axis=0)
             gw = np.stack([np.bincount(inverse, weights=spread[:, c], minlength=len(used)) for c in range(k)], axis=1) + DECAY * model.weights[used]
@@ -219,13 +247,10 @@ def fit_texts(texts: list[str], langs: list[str], names: list[str]) -> CRF:
             np.add.at(gk, lex, g)
             step_k += gk * gk
             model.known -= RATE * gk / np.sqrt(step_k)
-            shape = (len(seq), LENGTH, k)
-            pair = alpha.T.reshape(shape)[:, :-1, :, None] * a * (x * beta).T.reshape(shape)[:, 1:, None, :]
-            pair = (pair / pair.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
-            true = np.einsum("stc,std->cd", gold.reshape(shape)[:, :-1], gold.reshape(shape)[:, 1:])
-            gm = (pair - true) / len(seq) + DECAY * model.moves
+            gm += DECAY * model.moves
             step_m += gm * gm
             model.moves -= RATE * gm / np.sqrt(step_m)
+    model.settle()
     return model
 
 
@@ -238,10 +263,19 @@ def fit(docs: DataFrame, rows: int = TRAIN_DOCS) -> CRF:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    names = sorted(r.lang for r in own.select("lang").distinct().collect())
+    names = sorted(r.lang for r in own.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"there are more than {LANGUAGES} languages")
+    each = max(1, rows // max(1, len(names)))
     ids = own.select("doc_id", "lang").groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.select("*", place.alias("place")).where(F.col("place") <= max(1, rows // max(1, len(names)))).select("doc_id", "place")
+    ids = materialize(ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("range", F.shiftright("hash", 64 - RANGE_BITS)), "language-ids")
+    # the ranges of hashes that hold a language's first rows are counted out first, so only little more than those is sorted
+    counts = ids.groupBy("lang", "range").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where(F.col("before") < each).groupBy("lang").agg(F.max("range").alias("last"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    near = ids.join(F.broadcast(last), "lang").where("range <= last")
+    chosen = near.select("*", place.alias("place")).where(F.col("place") <= each).select("doc_id", "place")
     chosen = materialize(chosen, "language-sample")
     got = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "place").agg(F.min(F.struct("text", "lang")).alias("row"))
     got = materialize(got.select("doc_id", "place", "row.*"), "language-texts")
@@ -275,8 +309,9 @@ def predict(docs: DataFrame, model: CRF) -> DataFrame:
                 for lo, _, words in _by_words(part) if crf.names else ():
                     n = np.diff(words.first)
                     post = crf.posteriors(crf.emissions(Features(words)), words.first)
-                    total = np.concatenate([np.zeros((1, len(crf.names))), np.cumsum(post, axis=0)])
-                    mean = (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1)[:, None]
+                    # sums of whole numbers: a text's do not depend on what stands before it
+                    total = np.concatenate([np.zeros((1, len(crf.names)), np.int64), np.cumsum(np.rint(post * PARTS).astype(np.int64), axis=0)])
+                    mean = (total[words.first[1:]] - total[words.first[:-1]]) / np.maximum(n, 1)[:, None] / PARTS
                     best = mean.argmax(axis=1)
                     for i in np.flatnonzero(n).tolist():
                         if LETTER.search(part[lo + i]):

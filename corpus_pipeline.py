@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from vialytics.llm import exact_dedup, ngram_join, packing, span_dedup, toxicity
 from vialytics.llm.common import materialize, table
 
+PASSAGE_WORDS = 25
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier scores as toxic go; it learns from the labels beside the documents."""
@@ -25,8 +27,11 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each passage that repeats, the first occurrence stays; the rest is cut out of its documents."""
-    return span_dedup.clean(docs)
+    """Of each passage that repeats, the first occurrence stays; the rest is cut out of its documents.
+
+    A passage is several sentences of PASSAGE_WORDS words together or one of 50: a pair of short common sentences is none.
+    """
+    return span_dedup.clean(docs, PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

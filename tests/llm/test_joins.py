@@ -171,7 +171,8 @@ def test_metric_join_keeps_links_across_pivots_one_ulp_apart(spark, monkeypatch)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("least", [span_dedup.RUN_WORDS, 25])
+def test_spans_against_brute_force(spark, least):
     rng = random.Random(9)
     vocab = [f"v{i}" for i in range(80)]
     pool = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 15))) + rng.choice([". ", "! ", "?\n", "\n"]) for _ in range(400)]
@@ -192,13 +193,13 @@ def test_spans_against_brute_force(spark):
         for a in range(len(used)):  # every run, not only the shortest
             for b in range(a + 1, len(used) + 1):
                 words = [w for k in used[a:b] for w in parts[k]]
-                if len(words) >= (25 if b > a + 1 else 50):
+                if len(words) >= (least if b > a + 1 else 50):
                     seen.setdefault(" ".join(words), []).append((span_dedup.NO_ID if i is None else i, used[a], used[b - 1] + 1))
     gone = {}
     for spots in seen.values():
         for i, lo, hi in sorted(spots)[1:]:
             gone.setdefault(i, set()).update(range(lo, hi))
-    got = {span_dedup.NO_ID if r.doc_id is None else r.doc_id: r for r in span_dedup.remove_repeats(frame).collect()}
+    got = {span_dedup.NO_ID if r.doc_id is None else r.doc_id: r for r in span_dedup.remove_repeats(frame, least).collect()}
     assert len(got) == len(docs) and sum(map(len, gone.values())) > 50
     for i, t in docs:
         i = span_dedup.NO_ID if i is None else i
@@ -211,15 +212,22 @@ def test_spans_against_brute_force(spark):
         assert cut == got[i].text
     holders = [i for i, t in docs if t and passage.lower() in t.lower()]
     assert sum(passage.lower() in got[span_dedup.NO_ID if i is None else i].text.lower() for i in holders) == 1
-    left = span_dedup.clean(frame)
+    left = span_dedup.clean(frame, least)
     assert left.columns == frame.columns
     assert sorted(r.text for r in left.collect() if r.text) == sorted(r.text for r in got.values() if r.text.strip())
     assert span_dedup.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_short_runs_of_two_sentences_count(spark):
+    twice = "The small red cat sat here. The dog ran off again today."
+    docs = spark.createDataFrame([(1, f"Alone it stands. {twice}"), (2, f"{twice} Another end."), (3, "The dog ran off again today. Nothing else.")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in span_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 2, 3: 0}
+    assert {r.n_removed for r in span_dedup.remove_repeats(docs, 25).collect()} == {0}
+
+
 def test_runs_cover_a_passage_from_both_ends():
     parts = ["one two three. ", "word " * 60 + ". ", "the tail. "]
-    h, lo, hi = span_dedup.runs(parts)
+    h, lo, hi = span_dedup.runs(parts, 25)
     assert set(zip(lo.tolist(), hi.tolist())) == {(0, 2), (1, 2), (1, 3)} and h.shape == (3, 2)
     assert span_dedup.sentences("一二三。四五六。 x. y") == ["一二三。", "四五六。 ", "x. ", "y"]
-    assert len(span_dedup.runs(["一二三四五六七八九十" * 2 + "。", "四五六七八九十" * 2 + "。"])[0]) == 1
+    assert len(span_dedup.runs(["一二三四五六七八九十" * 2 + "。", "四五六七八九十" * 2 + "。"], 25)[0]) == 1

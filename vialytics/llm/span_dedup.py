@@ -1,7 +1,7 @@
 """Substring dedup with sliding sentence spans.
 
-A run is several consecutive sentences with at least RUN_WORDS words together, or one sentence of twice as many. Runs
-are hashed to 128 bits, meet by hash over the whole corpus, and the sentences that any occurrence but the first covers
+A run is several consecutive sentences, or one sentence of at least LONE_WORDS words. A caller may ask for runs of at
+least so many words together; by default every run of two sentences counts, however short. Runs are hashed to 128 bits, meet by hash over the whole corpus, and the sentences that any occurrence but the first covers
 go. Only the shortest runs from each sentence forwards and backwards are sent: every longer run is a union of those
 inside it, and where it repeats an earlier run so do they.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, batches, frugal, give_back, materialize
 
-RUN_SENTENCES, RUN_WORDS = 2, 25
+#: Sentences of a run, the least words of them together, and of a sentence that is a run by itself.
+RUN_SENTENCES, RUN_WORDS, LONE_WORDS = 2, 0, 50
 FLUSH_RUNS = 150_000
 #: Owners for each task: a task holds the runs of one owner at a time.
 OWNERS = 8
@@ -56,7 +57,7 @@ def runs(parts: list[str], least: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarr
     i = np.arange(n)
     forward = np.maximum(np.searchsorted(total, total[:-1] + least), i + RUN_SENTENCES)  # the shortest runs from i are [i, forward[i])
     backward = np.minimum(np.searchsorted(total, total[1:] - least, side="right") - 1, i + 1 - RUN_SENTENCES)
-    lone = np.flatnonzero(count >= 2 * least)
+    lone = np.flatnonzero(count >= LONE_WORDS)
     spans = np.concatenate([np.stack([i, forward])[:, forward <= n], np.stack([backward, i + 1])[:, backward >= 0], np.stack([lone, lone + 1])], axis=1)
     spans = np.unique(spans, axis=1) if spans.shape[1] else spans
     place = np.array([*used, len(parts)], dtype=np.int32)
@@ -196,7 +197,7 @@ def remove_repeats(docs: DataFrame, least_words: int = RUN_WORDS) -> DataFrame:
 
     Of all occurrences of a run the first, by (doc_id, place), stays. Null text is empty text and loses nothing; null
     doc_ids come after all others. Rows that repeat a doc_id and its text are one document and lose alike. Texts of fewer
-    than least_words words have no run, nor have texts of one sentence with fewer than twice as many. Every other column
+    than least_words words have no run, nor have texts of one sentence with fewer than LONE_WORDS. Every other column
     is ignored; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, least_words)

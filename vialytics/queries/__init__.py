@@ -1,6 +1,6 @@
 """The registered queries over the test tables."""
 
-from . import analytics, embeddings, figures, identity, lists, matching, observations, plates, quality, reports, streams, tracklets
+from . import analytics, embeddings, figures, identity, lists, matching, observations, phrases, plates, quality, reports, streams, tracklets
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "embeddings", "figures", "identity", "lists", "matching", "observations", "plates", "quality", "reports", "streams", "tracklets"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "embeddings", "figures", "identity", "lists", "matching", "observations", "phrases", "plates", "quality", "reports", "streams", "tracklets"]

@@ -9,7 +9,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vialytics.functions import plates as plate_text
 from vialytics.functions.predicates import compare
-from vialytics.operators import evidence, identity, imports, intervals, plates, reconcile, reid, tracks
+from vialytics.operators import evidence, identity, imports, intervals, plates, reconcile, records, reid, tracks
 from vialytics.plans.compiler import condition
 from vialytics.plans.plan import from_payload, none_of, where
 from vialytics.sources import runs
@@ -114,10 +114,62 @@ def test_pool_and_spacing_against_a_scan(spark):
             if len(taken) < 3 and all(abs(r[1] - x) > 4 for x in taken):
                 taken.append(r[1])
         assert got[t] == set(taken)
-    pool = evidence.bounded_pool(frame, "track_no", 4)
-    assert pool.columns == frame.columns
-    counts = {r.track_no: r.n for r in pool.groupBy("track_no").agg(F.count("*").alias("n")).collect()}
-    assert set(counts) == set(range(40)) and max(counts.values()) <= 4
+
+
+def test_pool_keeps_what_a_plain_online_pool_keeps(spark):
+    rng = random.Random(6)
+    rows = [(t, f, float(rng.randrange(6)), float(x := rng.randrange(8)), 0.0, x + 60.0, 10.0) for t in range(60) for f in sorted(rng.choices(range(50), k=rng.randrange(1, 25)))]
+    rows = sorted(rows, key=lambda r: (r[0], r[1], -r[2]))
+    frame = spark.createDataFrame(rows, "track_no long, frame_number long, instant double, cx1 double, cy1 double, cx2 double, cy2 double").repartition(3)
+    got = {(r.track_no, r.frame_number, r.instant) for r in evidence.bounded_pool(frame, "track_no", 4).collect()}
+
+    def overlap(a, b):
+        both = max(0, min(a[5], b[5]) - max(a[3], b[3])) * 10
+        return both / (1200 - both)
+
+    want = set()
+    for t in range(60):
+        pool = []  # [score, row]
+        for r in (r for r in rows if r[0] == t):
+            if any(p[1][1] == r[1] for p in pool):
+                continue
+            twin = None
+            for p in pool:
+                if abs(p[1][1] - r[1]) <= 3 and overlap(p[1], r) >= 0.85 and (twin is None or overlap(p[1], r) > overlap(twin[1], r)):
+                    twin = p
+            if twin:
+                lifted = max(r[2], overlap(twin[1], r))
+                if lifted > twin[0]:
+                    pool.remove(twin)
+                    pool.append([lifted, r])
+                continue
+            pool.append([r[2], r])
+            if len(pool) > 4:
+                pool.remove(min(pool, key=lambda p: (p[0], p[1][1])))
+        want |= {p[1][:3] for p in pool}
+    assert got == want and len(want) < len(rows) / 2
+
+
+def test_repeated_records_are_an_error(spark):
+    rows = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("s", "a", 3)], "run_id string, vehicle_id string, x int")
+    assert sorted(map(tuple, records.unique(rows, ["run_id", "vehicle_id"]).collect())) == [("r", "a", 1), ("r", "b", 2), ("s", "a", 3)]
+    with pytest.raises(Exception, match="a record is repeated: vehicle_id=a"):
+        records.unique(rows, ["vehicle_id"]).collect()
+
+
+def test_the_first_valid_plate_counts_also_a_corrected_one(spark):
+    rows = spark.createDataFrame([(1, "NO PLATE", "hr 26 dk 8337", None), (2, "HR26DK83E7", "22BH1234AA", "x"), (3, "", None, "  "), (4, "HR26DKA8B37", None, "DL1CA1234")], "id int, a string, b string, c string")
+    assert {r.id: r.p for r in records.canonical_plate(rows, ["a", "b", "c"], "p").collect()} == {1: "HR26DK8337", 2: "22BH1234AA", 3: None, 4: "HR26DKA8837"}
+
+
+def test_steps_upwards_and_repeated_media(spark):
+    paths = spark.createDataFrame([(p,) for p in ("/f/a/../b", "/f/a..b", "../x", "x/..", "/g/x", "x")], "p string")
+    assert {r.p: (r.kind, r.relative) for r in imports.relative_paths(paths, "p", "/f/").collect()} == {
+        "/f/a/../b": ("invalid", None), "/f/a..b": ("inside", "a..b"), "../x": ("invalid", None), "x/..": ("invalid", None), "/g/x": ("outside", None), "x": ("relative", "x"),
+    }
+    media = lambda *rows: spark.createDataFrame(rows, "media_type string, relative_path string, original_path string, track_no long")
+    got = imports.first_media(media(("crop", "a", "/a", 9), ("crop", None, "/b", 4)), media(("crop", "a", "/a", 1), ("plate", "a", "/a", 2), ("crop", None, "/b", 3), ("crop", None, "/b", 2)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("crop", "a", "/a", 9, 0, 2), ("crop", None, "/b", 4, 0, 3), ("plate", "a", "/a", 2, 1, 1)], key=str)
 
 
 def test_chains_of_tracks_end_at_their_root(spark):

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import area, box, centeredness, clip, edge_visibility
+from ..functions.geometry import area, box, centeredness, clip, edge_visibility, height, padded, width
 
 #: The weights of an observation's overall score.
 WEIGHTS = {"confidence": 0.35, "sharpness": 0.25, "area": 0.20, "center": 0.10, "edge": 0.10}
+#: The weights of the score that an observation has as it comes, when its track's largest values are not known.
+INSTANT = {"confidence": 1000.0, "sharpness": 0.5, "area": 0.01, "center": 100.0, "edge": 100.0}
 
 
 def scored(rows: DataFrame, key: str, frame_width: float, frame_height: float) -> DataFrame:
@@ -29,6 +31,15 @@ def scored(rows: DataFrame, key: str, frame_width: float, frame_height: float) -
     return sized.withColumn("overall", overall)
 
 
+def instantaneous(rows: DataFrame, frame_width: float, frame_height: float) -> DataFrame:
+    """rows (box, confidence, sharpness) with the padded box cx1 ... cy2 of their crop and the score they have as they come."""
+    fw, fh = F.lit(float(frame_width)), F.lit(float(frame_height))
+    crop = padded(box(), fw, fh)
+    cut = rows.withColumns({f"c{c}": v.cast("double") for c, v in zip(("x1", "y1", "x2", "y2"), crop)})
+    parts = {"confidence": F.col("confidence"), "sharpness": F.col("sharpness"), "area": width(box("c")) * height(box("c")), "center": centeredness(box(), fw, fh), "edge": edge_visibility(box(), fw, fh)}
+    return cut.withColumn("instant", sum((w * parts[k] for k, w in INSTANT.items()), F.lit(0.0)))
+
+
 def roles(rows: DataFrame, key: str) -> DataFrame:
     """(key, role, frame_number): the observation that plays each role. Ties go to the earliest frame."""
     frame = F.col("frame_number")
@@ -80,12 +91,12 @@ def summary(chosen: DataFrame, key: str) -> DataFrame:
     return chosen.groupBy(key).agg(F.count("*").alias("items"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.countDistinct("frame_number").alias("frames"))
 
 
-def _kept_in_order(rows: DataFrame, key: str, order: list, choose: Callable[[list[tuple]], list[int]]) -> DataFrame:
-    """The rows that `choose` picks of each track's (frame, score, box) list, in order.
+def _kept_in_order(rows: DataFrame, key: str, order: list, names: list[str], choose: Callable[[list[tuple]], list[int]]) -> DataFrame:
+    """The rows that `choose` picks of each track's list of the named values, in order.
 
     Tracks are dealt by key and streamed in order, many to a batch; only the track at hand is held.
     """
-    columns, names = rows.columns, ["frame_number", "overall", "x1", "y1", "x2", "y2"]
+    columns = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -116,29 +127,32 @@ def _overlap(a: tuple, b: tuple) -> float:
 
 
 def bounded_pool(rows: DataFrame, key: str, most: int = 7, frame_gap: int = 3, same: float = 0.85) -> DataFrame:
-    """The observations that an online pool of at most `most` keeps for each track, in the order of frames.
+    """The observations of `instantaneous` that an online pool of at most `most` keeps for each track.
 
-    A newcomer close in time and place to a kept one replaces it only with a better score; a full pool drops its weakest.
+    They come in the order of frames and are judged by what is known then. A newcomer whose crop nearly equals that of a kept
+    one close in time takes its place if it scores better, its score lifted to their overlap at least; else it goes. A full
+    pool drops its weakest, of equal ones the earlier. Of a frame that comes twice the first counts.
     """
 
     def choose(track: list[tuple]) -> list[int]:
         pool: list[tuple[float, int, tuple, int]] = []
-        for at, (frame, score, *corners) in enumerate(track):
+        for at, (frame, score, *crop) in enumerate(track):
             if any(p[1] == frame for p in pool):
                 continue
-            twins = [(_overlap(p[2], corners), -i) for i, p in enumerate(pool) if abs(p[1] - frame) <= frame_gap]
-            best = max(twins, default=(0.0, 0))
-            if twins and best[0] >= same:
-                if score > pool[-best[1]][0]:
-                    pool.pop(-best[1])
-                    pool.append((score, frame, corners, at))
+            near = [(overlap, -i) for i, p in enumerate(pool) if abs(p[1] - frame) <= frame_gap and (overlap := _overlap(p[2], crop)) >= same and overlap > 0]
+            if near:
+                overlap, twin = max(near)
+                score = max(score, overlap)
+                if score > pool[-twin][0]:
+                    pool.pop(-twin)
+                    pool.append((score, frame, crop, at))
                 continue
-            pool.append((score, frame, corners, at))
+            pool.append((score, frame, crop, at))
             if len(pool) > most:
                 pool.remove(min(pool, key=lambda p: (p[0], p[1])))
         return sorted(p[3] for p in pool)
 
-    return _kept_in_order(rows, key, ["frame_number", F.desc("overall")], choose)
+    return _kept_in_order(rows, key, ["frame_number", F.desc("instant")], ["frame_number", "instant", "cx1", "cy1", "cx2", "cy2"], choose)
 
 
 def spaced(rows: DataFrame, key: str, most: int = 3, gap: int = 3) -> DataFrame:
@@ -151,4 +165,4 @@ def spaced(rows: DataFrame, key: str, most: int = 3, gap: int = 3) -> DataFrame:
                 taken.append(i)
         return taken
 
-    return _kept_in_order(rows, key, [F.desc("overall"), "frame_number"], choose)
+    return _kept_in_order(rows, key, [F.desc("overall"), "frame_number"], ["frame_number"], choose)

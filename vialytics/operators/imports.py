@@ -47,13 +47,23 @@ def resolved(references: DataFrame, tracks: DataFrame, keys: list[str]) -> DataF
 def relative_paths(rows: DataFrame, path: str, folder: str) -> DataFrame:
     """rows with relative and kind: paths inside folder lose it; outside it, or with a step upwards, they have no relative path."""
     p = F.col(path)
-    inside, rooted, upwards = p.startswith(folder), p.startswith("/"), p.contains("..")
-    bad = upwards | (rooted & ~inside)
-    relative = F.when(~bad, F.when(inside, F.substring(p, len(folder) + 1, 1 << 20)).otherwise(p))
+    inside, rooted, upwards = p.startswith(folder), p.startswith("/"), F.array_contains(F.split(p, "/"), "..")
+    relative = F.when(~(upwards | (rooted & ~inside)), F.when(inside, F.substring(p, len(folder) + 1, 1 << 20)).otherwise(p))
     kind = F.when(upwards, "invalid").when(inside, "inside").when(rooted, "outside").otherwise("relative")
     return rows.withColumns({"relative": relative, "kind": kind})
 
 
+def first_media(*sources: DataFrame) -> DataFrame:
+    """(media_type, relative_path, original_path, track_no, source, seen): each medium once, as the first of the sources that
+    names it does (of several rows there the smallest track), and how many rows name it."""
+    rows = [s.select("media_type", "relative_path", "original_path", "track_no", F.lit(i).alias("source")) for i, s in enumerate(sources)]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    first = F.min(F.struct("source", "track_no")).alias("first")
+    return every.groupBy("media_type", "relative_path", "original_path").agg(first, F.count("*").alias("seen")).select("media_type", "relative_path", "original_path", "first.track_no", "first.source", "seen")
+
+
 def issue_table(*found: tuple[DataFrame, str, str]) -> DataFrame:
     """(severity, code, rows): how often each check (rows that fail it, severity, code) fails; checks that hold have no row."""
     counts = [rows.agg(F.count("*").alias("rows")).select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "rows") for rows, severity, code in found]

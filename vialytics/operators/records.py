@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import CLASSES, COLOURS, known, scoped_id, short_track_id
+from ..functions.plates import validated
 
 FIELDS = ["run_id", "vehicle_id", "camera_id", "vehicle_class", "colour", "first_seen_seconds", "last_seen_seconds", "status", "plate_text", "plate_detected"]
 
@@ -17,9 +18,12 @@ def completed(tracks: DataFrame) -> DataFrame:
     return labelled.withColumn("plate_text", F.when(F.col("plate_detected"), F.col("plate_text")))
 
 
-def repeated_keys(tracks: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once, with their count: what must not be there."""
-    return tracks.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+def unique(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """tracks, whose keys must not repeat: a key with several rows is an error when the result is computed."""
+    counted = tracks.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct("*")).alias("_row"))
+    shown = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys))
+    ok = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(F.concat(F.lit("a record is repeated: "), shown)).cast(counted.schema["_row"].dataType))
+    return counted.select(ok.alias("_row")).select("_row.*")
 
 
 def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -48,6 +52,14 @@ def listing(tracks: DataFrame) -> DataFrame:
     )
 
 
-def first_valid(*candidates) -> F.Column:
-    """The first non-empty candidate."""
-    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in candidates))
+def canonical_plate(rows: DataFrame, candidates: list[str], name: str) -> DataFrame:
+    """rows with the canonical form of the first candidate that is a valid plate, as it stands or corrected; null without one.
+
+    Texts are validated once, however many rows hold them: only distinct ones reach the correction.
+    """
+    texts = rows.select(F.explode(F.array(*(F.col(c).cast("string") for c in candidates))).alias("_text")).where("_text is not null").distinct()
+    valid = texts.withColumn("_v", validated(F.col("_text"))).where("_v.valid").select("_text", F.col("_v.canonical").alias("_plate"))
+    out = rows
+    for i, c in enumerate(candidates):
+        out = out.join(valid.select(F.col("_text").alias(c), F.col("_plate").alias(f"_plate{i}")), c, "left")
+    return out.withColumn(name, F.coalesce(*(F.col(f"_plate{i}") for i in range(len(candidates))))).drop(*(f"_plate{i}" for i in range(len(candidates))))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.labels import COLOUR_ALIASES, short_track_id
 from ..functions.plates import normalized
 from ..operators import imports
-from ..operators.records import first_of
+from ..operators.records import canonical_plate, first_of
 from ..sources.testdata import OBSERVATIONS, VEHICLES, observations, read, vehicle_records
 from .registry import query
 
@@ -118,12 +118,22 @@ def list_evidence_roles(spark, sf_dir):
     return observations(spark, sf_dir).select("track_no", "frame_number", "confidence", F.expr(_ROLE).alias("role")).select("track_no", "frame_number", "role", F.row_number().over(own).alias("place"))
 
 
-@query(BOTH + f", m as ({_MEDIA} union all {_MEDIA}) select path, min(track_no) as track_no from m group by path")
+#: Media of a source that names every n-th frame, every m-th of them as a plate; some have no relative path.
+_NAME = "concat(cast(track_no as varchar(20)), '_', cast(frame_number as varchar(20)), '.jpg')"
+_CROP = ["case when frame_number % {1} = 0 then 'plate' else 'crop' end as media_type", f"case when frame_number % 10 <> 0 then concat('crops/', {_NAME}) end as relative_path", f"concat('/runs/', run_id, '/', {_NAME}) as original_path", "track_no"]
+_SOURCES = ((2, 6), (3, 6), (4, 12))
+
+
+@query(
+    BOTH
+    + ", m as ("
+    + " union all ".join(f"select {', '.join(_CROP).format(n, m)}, {i} as source from o where frame_number % {n} = 0" for i, (n, m) in enumerate(_SOURCES))
+    + ") select media_type, relative_path, original_path, min(track_no) as track_no, min(source) as source, count(*) as seen from m group by 1, 2, 3"
+)
 def media_dedupe(spark, sf_dir):
-    """One row for each media path."""
-    rows = observations(spark, sf_dir).where("frame_number % 2 = 0")
-    paths = rows.select(F.concat(F.lit("crops/"), F.col("track_no").cast("string"), F.lit("_"), F.col("frame_number").cast("string"), F.lit(".jpg")).alias("path"), "track_no")
-    return paths.unionByName(paths).dropDuplicates(["path", "track_no"])
+    """Media that evidence, plates and enrichment name, each once."""
+    seen = observations(spark, sf_dir)
+    return imports.first_media(*(seen.where(F.col("frame_number") % n == 0).selectExpr(*(c.format(n, m) for c in _CROP)) for n, m in _SOURCES))
 
 
 @query(ALL + "select owner, string_agg(vehicle_class, ',' order by first_no) as classes from (select owner, vehicle_class, min(track_no) as first_no from v group by 1, 2) x group by 1")
@@ -181,17 +191,34 @@ def safe_ids(spark, sf_dir):
     return vehicle_records(spark, sf_dir).select("vehicle_id", F.regexp_replace("vehicle_id", "[^A-Za-z0-9._-]+", "_").alias("safe"), short_track_id(F.col("vehicle_id")).alias("short_id"))
 
 
-_PATHS = "select track_no, case track_no % 4 when 0 then concat('/runs/run_1/crops/', cast(track_no as varchar(20))) when 1 then concat('crops/', cast(track_no as varchar(20))) when 2 then concat('/other/', cast(track_no as varchar(20))) else concat('../up/', cast(track_no as varchar(20))) end as path from v"
+_PATHS = """select track_no, concat(case track_no % 6 when 0 then '/runs/run_1/crops/' when 1 then 'crops/' when 2 then '/other/' when 3 then '../up/' when 4 then '/runs/run_1/x/../' else 'crops/a..b/' end, cast(track_no as varchar(20))) as path"""
 
 
-@query(ALL + f", p as ({_PATHS}) select track_no, case when starts_with(path, '/runs/run_1/') then substr(path, 13) when starts_with(path, '/') or path like '%..%' then null else path end as relative, case when starts_with(path, '/runs/run_1/') then 'inside' when starts_with(path, '/') then 'outside' when path like '%..%' then 'invalid' else 'relative' end as kind from p")
+@query(ALL + f", p as ({_PATHS} from v), q as (select *, list_contains(string_split(path, '/'), '..') as up from p) select track_no, case when up then null when starts_with(path, '/runs/run_1/') then substr(path, 13) when starts_with(path, '/') then null else path end as relative, case when up then 'invalid' when starts_with(path, '/runs/run_1/') then 'inside' when starts_with(path, '/') then 'outside' else 'relative' end as kind from q")
 def path_relative(spark, sf_dir):
     """Paths inside a run's folder, and what is wrong with the others."""
+    rows = vehicle_records(spark, sf_dir).selectExpr(*_PATHS.removeprefix("select ").split(", ", 1))
+    return imports.relative_paths(rows, "path", "/runs/run_1/").select("track_no", "relative", "kind")
+
+
+_CANDIDATES = """case track_no % 5 when 0 then null when 1 then ' ' when 2 then 'NO PLATE' when 3 then concat(lower(substr(plate_text, 1, 2)), ' ', substr(plate_text, 3)) else plate_text end as c1,
+  case when track_no % 3 = 0 then concat('22 bh ', cast(1000 + track_no % 9000 as varchar(8)), ' aa') when track_no % 3 = 1 then 'XX99' end as c2, plate_text as c3"""
+
+
+@query(
+    ALL
+    + f""", c as (select run_id, vehicle_id, unnest([{{'i': 1, 'p': c1}}, {{'i': 2, 'p': c2}}, {{'i': 3, 'p': c3}}]) as x from (select run_id, vehicle_id, {_CANDIDATES} from v) a),
+    n as (select run_id, vehicle_id, x.i as i, regexp_replace(upper(x.p), '[^A-Z0-9]', '', 'g') as p from c),
+    k as (select * from n where regexp_matches(p, '^(HR|DL|MP)[0-9]{{1,2}}[A-Z]{{1,3}}[0-9]{{4}}$') or regexp_matches(p, '^[0-9]{{2}}BH[0-9]{{4}}[A-Z]{{1,2}}$'))
+    select v.run_id, v.vehicle_id, plate from v left join (select run_id, vehicle_id, arg_min(p, i) as plate from k group by 1, 2) b using (run_id, vehicle_id)"""
+)
+def rec_canonical_plate(spark, sf_dir):
+    """The first candidate of each vehicle that is a valid plate, in its canonical form."""
     rows = vehicle_records(spark, sf_dir)
-    number = F.col("track_no").cast("string")
-    which = F.col("track_no") % 4
-    path = F.when(which == 0, F.concat(F.lit("/runs/run_1/crops/"), number)).when(which == 1, F.concat(F.lit("crops/"), number)).when(which == 2, F.concat(F.lit("/other/"), number)).otherwise(F.concat(F.lit("../up/"), number))
-    return imports.relative_paths(rows.select("track_no", path.alias("path")), "path", "/runs/run_1/").select("track_no", "relative", "kind")
+    first, rest = _CANDIDATES.split(" as c1,")
+    second, third = rest.split(" as c2, ")
+    made = rows.selectExpr("run_id", "vehicle_id", f"{first} as c1", f"{second} as c2", third.replace(" as c3", "") + " as c3")
+    return canonical_plate(made, ["c1", "c2", "c3"], "plate").select("run_id", "vehicle_id", "plate")
 
 
 @query(ALL + ", d as (select * from (select *, row_number() over (partition by run_id, vehicle_id order by track_no) as k from (select run_id, concat('VEHICLE_', cast(owner as varchar(20))) as vehicle_id, track_no, vehicle_class, plate_text, plate_detected from v) a) b where k = 1) select run_id, vehicle_id, vehicle_class, case when plate_detected then plate_text end as plate_text from d")

@@ -189,7 +189,22 @@ def evidence_summary(spark, sf_dir):
 
 @query()
 def evidence_pool(spark, sf_dir):
-    return evidence.bounded_pool(_scored(spark, sf_dir), "track_no", 3).select("track_no", "frame_number", "overall")
+    """What an online pool of three keeps of each track; held against a plain pool by tests."""
+    rows = evidence.instantaneous(observations(spark, sf_dir).withColumn("sharpness", F.col("weight") * 10 + 1), *FRAME)
+    return evidence.bounded_pool(rows, "track_no", 3).select("track_no", "frame_number", F.round("instant", 6).alias("instant"))
+
+
+@query(
+    O
+    + """, c as (select *, greatest(0, least(20000, floor(x1 - greatest((x2 - x1) * 0.08, 8)))) as a, greatest(0, least(2000, floor(y1 - greatest((y2 - y1) * 0.08, 8)))) as b,
+      greatest(0, least(20000, ceil(x2 + greatest((x2 - x1) * 0.08, 8)))) as c, greatest(0, least(2000, ceil(y2 + greatest((y2 - y1) * 0.08, 8)))) as d from o)
+    select track_no, frame_number, round(1000 * confidence + 0.5 * (weight * 10 + 1) + 0.01 * (c - a) * (d - b) + 100 * greatest(0, least(1, 1 - sqrt(pow((x1 + x2) / 2 - 10000, 2) + pow((y1 + y2) / 2 - 1000, 2)) / sqrt(1e8 + 1e6)))
+      + 100 * greatest(0, least(1, x1 / greatest(1, x2 - x1), (20000 - x2) / greatest(1, x2 - x1), y1 / greatest(1, y2 - y1), (2000 - y2) / greatest(1, y2 - y1))), 6) as instant from c"""
+)
+def evidence_instant_scores(spark, sf_dir):
+    """The score of every observation as it comes."""
+    rows = evidence.instantaneous(observations(spark, sf_dir).withColumn("sharpness", F.col("weight") * 10 + 1), *FRAME)
+    return rows.select("track_no", "frame_number", F.round("instant", 6).alias("instant"))
 
 
 @query()

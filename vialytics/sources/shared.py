@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the session's checkpoint folder and read back; a temporary folder only where the session names none."""
+    """df written to the session's checkpoint folder and read back; only a local session that names none gets a temporary folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vialytics-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/vialytics-{tag}-{uuid.uuid4().hex}"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.labels import COLOUR_ALIASES, short_track_id
+from ..functions.labels import COLOUR_ALIASES, short_track_id, track_number
 from ..functions.plates import normalized
 from ..operators import imports
-from ..operators.records import canonical_plate, first_of
+from ..operators.records import canonical_plate, first_of, prefer_physical
 from ..sources.testdata import OBSERVATIONS, VEHICLES, observations, read, vehicle_records
 from .registry import query
 
@@ -201,6 +201,29 @@ def path_relative(spark, sf_dir):
     return imports.relative_paths(rows, "path", "/runs/run_1/").select("track_no", "relative", "kind")
 
 
+@query(ALL + "select run_id, camera_id, vehicle_id, cast(row_number() over (partition by run_id, camera_id, vehicle_class order by cast(split_part(vehicle_id, 'TRACK_', 2) as bigint), vehicle_id) as int) as place from v")
+def list_tracks_natural(spark, sf_dir):
+    """Tracks of a class at a camera in the natural order of their numbers: 2 comes before 10."""
+    own = Window.partitionBy("run_id", "camera_id", "vehicle_class").orderBy(track_number(F.col("vehicle_id")), "vehicle_id")
+    return vehicle_records(spark, sf_dir).select("run_id", "camera_id", "vehicle_id", F.row_number().over(own).alias("place"))
+
+
+_RECORD = "run_id, vehicle_id, camera_id, vehicle_class, colour, first_seen_seconds, last_seen_seconds, status, plate_text, plate_detected"
+
+
+@query(
+    ALL
+    + f""", p as (select {_RECORD.replace("status,", "'PHYSICAL_VEHICLE' as status,")} from v where track_no % 3 = 0 and run_id <> 'RUN_0'), c as (select {_RECORD.replace("plate_text,", "case when plate_detected then plate_text end as plate_text,")} from v where status = 'COMPLETED' and run_id = 'RUN_0')
+    select * from p union all select * from c"""
+)
+def rec_source_preference(spark, sf_dir):
+    """Physical vehicles where a scope has any, else completed tracks: RUN_0 has none, the other runs do."""
+    rows = vehicle_records(spark, sf_dir)
+    found = rows.where("track_no % 3 = 0 and run_id <> 'RUN_0'").withColumn("status", F.lit("PHYSICAL_VEHICLE"))
+    of_run = lambda df, mine: df.where((F.col("run_id") == "RUN_0") == F.lit(mine))
+    return prefer_physical(of_run(found, True), of_run(rows, True)).unionByName(prefer_physical(of_run(found, False), of_run(rows, False)))
+
+
 _CANDIDATES = """case track_no % 5 when 0 then null when 1 then ' ' when 2 then 'NO PLATE' when 3 then concat(lower(substr(plate_text, 1, 2)), ' ', substr(plate_text, 3)) else plate_text end as c1,
   case when track_no % 3 = 0 then concat('22 bh ', cast(1000 + track_no % 9000 as varchar(8)), ' aa') when track_no % 3 = 1 then 'XX99' end as c2, plate_text as c3"""
 

@@ -234,6 +234,13 @@ def colour_vote(spark, sf_dir):
     return votes.weighted_vote(rows, "track_no").select("track_no", "label", "reason")
 
 
+@query(_PRED + "select track_no, label from (select *, row_number() over (partition by track_no order by case when frame_number % 9 = 0 then -1 else confidence end desc, case when frame_number % 7 = 0 then -1 else weight end desc, label desc) as k from p) r where k = 1")
+def best_prediction(spark, sf_dir):
+    """The label of each track's surest prediction, then of the heaviest; missing numbers come last."""
+    gaps = {c: F.when(F.col("frame_number") % n != 0, F.col(c)) for c, n in (("confidence", 9), ("weight", 7))}
+    return votes.best_label(_predictions(spark, sf_dir).withColumns(gaps), "track_no")
+
+
 @query(_PRED + "select track_no, arg_min(label, frame_number) as label, min(frame_number) as used from p where label <> 'UNKNOWN' group by 1")
 def adaptive_first_valid(spark, sf_dir):
     return votes.first_valid(_predictions(spark, sf_dir), "track_no", "frame_number")

@@ -52,6 +52,18 @@ def roi_band(spark, sf_dir):
     return observations(spark, sf_dir).where(quality.inside_band(box(), HEIGHT, 0.15, 0.2501)).select("track_no", "frame_number")
 
 
+@query(
+    O
+    + """, b as (select track_no, frame_number, x1, y1, case track_no % 5 when 0 then x1 - 1 when 1 then cast('nan' as double) when 2 then cast('infinity' as double) when 3 then null else x2 end as x2, y2 from o)
+    select track_no, frame_number, coalesce(isfinite(x1) and isfinite(y1) and isfinite(x2) and isfinite(y2) and x2 > x1 and y2 > y1, false) as valid from b"""
+)
+def bbox_validity(spark, sf_dir):
+    """Whether boxes have finite corners in order; some are spoilt here."""
+    n = F.col("track_no") % 5
+    x2 = F.when(n == 0, F.col("x1") - 1).when(n == 1, F.lit(float("nan"))).when(n == 2, F.lit(float("inf"))).when(n == 3, F.lit(None)).otherwise(F.col("x2"))
+    return observations(spark, sf_dir).withColumn("x2", x2).select("track_no", "frame_number", quality.valid(box()).alias("valid"))
+
+
 @query(O + "select track_no, frame_number from o where (x1 + x2) / 2 between 200 and 1000 and y2 between 40 and 80")
 def roi_rect(spark, sf_dir):
     return observations(spark, sf_dir).where(quality.inside_rectangle(box(), WIDTH, HEIGHT, 0.1, 0.5, 0.1, 0.2)).select("track_no", "frame_number")

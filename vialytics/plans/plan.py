@@ -19,6 +19,7 @@ FIELD_OPERATORS = {
     "end_time": ("gt", "gte", "lt", "lte", "between"),
     "vehicle_id": ("eq", "in"),
 }
+#: What records may be grouped by.
 GROUPS = ("class", "colour", "camera", "run", "run_camera", "plate_presence", "time_bucket")
 
 

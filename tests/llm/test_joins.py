@@ -94,6 +94,50 @@ def test_ngram_join_links_each_text_of_a_repeated_id(spark, order):
     assert {r.component_id for r in ngram_join.jaccard_components(frame).collect()} == {3}
 
 
+def test_shared_grams_rows_do_not_grow_with_tasks(spark):
+    texts = near_copies(3, 160)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6).cache()
+    shared = Fraction("0.85")
+    rows, parts = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks in ("2", "4", "48"):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            made = ngram_join._exchange(frame, lambda buckets: ngram_join._scan_shared(ngram_join._of_text(4, shared), buckets), ngram_join._own_shared, "doc_id long, kind int, n long")
+            rows.append(made.where(F.col("kind") == ngram_join.COUNTED).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert rows[0] == rows[1] == rows[2] > 160
+
+
+@pytest.mark.parametrize("t", [Fraction("0.85"), Fraction("0.8"), Fraction("0.5"), Fraction("0.2"), Fraction(1)])
+def test_first_grams_of_linked_sets_have_enough_in_common(t):
+    rng, linked = random.Random(int(t * 100)), 0
+    for _ in range(3000):
+        x = set(rng.sample(range(10**6), rng.randrange(1, 80)))
+        y = {v for v in x if rng.random() < rng.choice([0.7, 0.9, 0.97, 1])} | set(rng.sample(range(10**6), rng.choice([0, 0, 1, 3, 9])))
+        if len(x & y) >= t * len(x | y):
+            linked += 1
+            first = [set(sorted(s)[: ngram_join.first_grams(len(s), t)]) for s in (x, y)]
+            assert all(len(first[0] & first[1]) >= ngram_join.first_shared(len(s), t) >= 1 for s in (x, y))
+    assert linked > 100
+
+
+def test_enough_is_what_first_shared_says(spark):
+    for t in (Fraction("0.85"), Fraction("0.8"), Fraction("0.5")):
+        rows = [(n, n and ngram_join.first_shared(n, t)) for n in range(1, 400)]
+        sets = spark.createDataFrame([(n, k, k - 1) for n, k in rows], "n int, shared int, fewer int")
+        assert sets.where(~ngram_join._enough("shared", F.col("n"), t)).count() == 0
+        assert sets.where(ngram_join._enough("fewer", F.col("n"), t)).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(0, 60)]
+    nodes = {n for e in links if e[0] != e[1] for n in e}
+    edges = spark.createDataFrame(links, "a long, b long").repartition(5)
+    assert {r.id: r.component_id for r in connected_components(edges).collect()} == components(nodes, links)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (None, 4)], "a long, b long")
     assert {(r.id, r.component_id) for r in connected_components(edges).collect()} == {(i, 0) for i in range(301)}

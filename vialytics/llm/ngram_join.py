@@ -1,7 +1,7 @@
 """N-gram Jaccard join with prefix trees.
 
-1. Every document becomes the set of its hashed word n-grams. A set can only link if enough of its n-grams occur in other
-   sets: tasks send short keys of their n-grams to owners, which count for each document those that others have too.
+1. Every document becomes the set of its hashed word n-grams. In one global order, that of the hashes, linked sets have some
+   of their first n-grams in common: tasks send short keys of these to owners, which give a row for each that others sent too.
 2. By the pigeonhole principle two sets that may link agree on at least one of a few parts of the hash space, so documents
    that share no part signature cannot link. Tasks fold equal signatures of their own documents first and send sorted
    signature lists to their owners.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ OPEN, SHARED, COUNTED, META = range(4)
 _COUNT = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("n", pa.int64())])
 #: Of an n-gram that is only counted 32 bits go beside its owner's number: a key that two share lets a set through, never stops one.
 SHORT = np.uint32
+#: Linked sets share at least this part of the smaller one's n-grams among their first ones, so as many more are sent of each.
+FIRST = Fraction(7, 20)
 #: Owners for each task: a task holds the messages of one owner at a time.
 OWNERS = 8
 #: Bits of the filter that spares documents without candidates the way to the cells: 8 MB, whatever the input.
@@ -351,27 +354,50 @@ def _tries(tasks: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.mapInArrow(frugal(_join_cells(threshold)), "a long, b long")
 
 
-def _of_cell(it):
-    """(doc_id, keys, None) of sets; the same n-gram has another key in another cell."""
-    for cells, docs, grams in batches(it, "cell", "doc_id", "grams"):
-        for c, d, g in zip(cells.to_numpy(), docs.to_pylist(), grams):
-            yield d, mix64(np.frombuffer(g.as_py(), dtype=np.uint64) + c.astype(np.uint64) * _STEP), None
+def first_grams(size: int, threshold: Fraction) -> int:
+    """How many n-grams of a set are sent, in the order of their hashes: as many as a link may lack, and a part more.
 
+    A link of sets x and y has at least ceil(t * size) of either set's n-grams. So of what they share the k-th in order is
+    among the first size - ceil(t * size) + k of either; k is what `first_shared` gives for the smaller of both.
+    """
+    return size - ceil(threshold * size) + _more(size, threshold)
+
+
+def first_shared(size: int, threshold: Fraction) -> int:
+    """How many of these n-grams a linked set has in common with the other, whose size is at least ceil(t * size)."""
+    return _more(ceil(threshold * size), threshold)
+
+
+def _more(size: int, threshold: Fraction) -> int:
+    return max(1, int(min(FIRST, threshold) * size)) if size else 0
 
-def _of_text(n: int):
-    """(doc_id, n-grams, their number) of texts."""
+
+def _of_cell(threshold: Fraction):
+    """(doc_id, keys of the first n-grams, None) of sets; the same n-gram has another key in another cell."""
+
+    def run(it):
+        for cells, docs, grams in batches(it, "cell", "doc_id", "grams"):
+            for c, d, g in zip(cells.to_numpy(), docs.to_pylist(), grams):
+                h = np.frombuffer(g.as_py(), dtype=np.uint64)
+                yield d, mix64(h[: first_grams(len(h), threshold)] + c.astype(np.uint64) * _STEP), None
+
+    return run
+
+
+def _of_text(n: int, threshold: Fraction):
+    """(doc_id, keys of the first n-grams, number of all) of texts. Keys are mixed, as first hashes are small ones."""
 
     def run(it):
         for docs, texts in batches(it, "doc_id", "text"):
             for d, t in zip(docs.to_pylist(), texts):
                 h = shingles(t.as_py(), n)
-                yield d, h if d is not None else h[:0], len(h)
+                yield d, mix64(h[: first_grams(len(h), threshold) if d is not None else 0]), len(h)
 
     return run
 
 
 def _scan_shared(read, buckets: int):
-    """Sends each n-gram once from every chunk; n-grams that sets of one chunk share are counted at once."""
+    """Sends each key once from every chunk; keys that sets of one chunk share are counted at once."""
 
     def run(it):
         keys, ids, metas, size, serial = [], [], [], 0, TaskContext.get().partitionId() * 31
@@ -407,45 +433,44 @@ def _scan_shared(read, buckets: int):
 
 
 def _own_shared(it):
-    """(doc_id, COUNTED, number of its n-grams owned here that another set has too), and (doc_id, META, size of the set)."""
+    """(doc_id, COUNTED, 1) for each key of a set that another chunk has too, counts of those that sets of its own chunk share,
+    and (doc_id, META, size of the set).
+
+    Spark sums. Rows are not summed for each task here: their number would be that of documents times tasks.
+    """
 
     def rows(kind, ids, n, valid=None):
         for lo in range(0, len(ids), 50_000):
             s = slice(lo, lo + 50_000)
             yield arrow_rows(_COUNT, doc_id=pa.array(ids[s], mask=None if valid is None else ~valid[s]), kind=np.full(len(n[s]), kind, dtype=np.int32), n=n[s])
 
-    def summed(counts):
-        ids, inverse = np.unique(np.concatenate([i for i, _ in counts]), return_inverse=True)
-        return ids, np.bincount(inverse, weights=np.concatenate([n for _, n in counts]), minlength=len(ids)).astype(np.int64)
-
-    counts = []
     for _, got in _by_owner(it):
         for p in got.get(META, ()):
             ids, n = np.frombuffer(p, dtype=np.int64).reshape(2, -1)
             yield from rows(META, ids, np.where(n < 0, -1 - n, n), n >= 0)
-        counts += [np.frombuffer(p, dtype=np.int64).reshape(2, -1) for p in got.get(COUNTED, ())]
+        for p in got.get(COUNTED, ()):
+            yield from rows(COUNTED, *np.frombuffer(p, dtype=np.int64).reshape(2, -1))
         if OPEN in got:
             keys, ids = (np.concatenate(x) for x in zip(*(_read_message(p, SHORT) for p in got[OPEN])))
             _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
             more = times[inverse] > 1
             if SHARED in got:
                 more |= np.isin(keys, np.concatenate([_read_message(p, SHORT)[0] for p in got[SHARED]]))
-            counts.append(np.unique(ids[more], return_counts=True))
-        if counts:
-            counts = [summed(counts)]
-            if len(counts[0][0]) > 1_000_000:
-                yield from rows(COUNTED, *counts.pop())
-    if counts:
-        yield from rows(COUNTED, *counts[0])
+            yield from rows(COUNTED, ids[more], np.ones(np.count_nonzero(more), dtype=np.int64))
+
+
+def _enough(shared: str, size, threshold: Fraction):
+    """Whether so many shared n-grams among the first allow a link: `first_shared` as a column."""
+    least, part = F.ceil(size * threshold.numerator / threshold.denominator), min(FIRST, threshold)  # whole numbers until they are divided
+    return F.col(shared) >= F.greatest(F.lit(1), F.floor(least * part.numerator / part.denominator))
 
 
 def _linkable(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The sets that may link: a link needs threshold of a set's own n-grams in other sets of its cell."""
-    sent = _exchange(sets.select("cell", "doc_id", "grams"), lambda buckets: _scan_shared(_of_cell, buckets), _own_shared, "doc_id long, kind int, n long")
+    """The sets that may link: a link needs enough of a set's first n-grams in other sets of its cell."""
+    sent = _exchange(sets.select("cell", "doc_id", "grams"), lambda buckets: _scan_shared(_of_cell(threshold), buckets), _own_shared, "doc_id long, kind int, n long")
     count = sent.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    enough = F.col("n") * threshold.denominator * 8 >= F.length("grams") * threshold.numerator
     count = materialize(count, "shared-grams")
-    kept = materialize(sets.join(count, "doc_id").where(enough).select("cell", "doc_id", "grams"), "linkable")
+    kept = materialize(sets.join(count, "doc_id").where(_enough("n", F.length("grams") / 8, threshold)).select("cell", "doc_id", "grams"), "linkable")
     discard(count)
     return kept
 
@@ -528,11 +553,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
     t = Fraction(str(threshold))
     spark = docs.sparkSession
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = _exchange(cols, lambda buckets: _scan_shared(_of_text(n), buckets), _own_shared, "doc_id long, kind int, n long")
+    counted = _exchange(cols, lambda buckets: _scan_shared(_of_text(n, t), buckets), _own_shared, "doc_id long, kind int, n long")
     counted = materialize(counted.groupBy("doc_id", "kind", F.when(F.col("kind") == META, F.col("n")).alias("size")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "counted")
     sizes = counted.where((F.col("kind") == META) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("size").alias("least"), F.sum("rows").alias("rows"))
     shared = counted.where(F.col("kind") == COUNTED).groupBy("doc_id").agg(F.sum("n").alias("shared"))
-    may = sizes.join(shared, "doc_id", "left").where((F.col("shared") * t.denominator >= F.col("least") * t.numerator) | (F.col("rows") > 1))
+    may = sizes.join(shared, "doc_id", "left").where(_enough("shared", F.col("least"), t) | (F.col("rows") > 1))
     held = _member_filter(may.select(F.col("doc_id").alias("id")))
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
     may_link = cols.where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(frugal(_may_be_members(held)), "doc_id long, text string")

@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from vialytics.llm import metric_join, ngram_join, span_dedup
+from vialytics.llm import common, metric_join, ngram_join, span_dedup
 from vialytics.llm.common import connected_components
 from vialytics.llm.common import materialize as _materialize
 
@@ -275,3 +275,11 @@ def test_runs_cover_a_passage_from_both_ends():
     assert set(zip(lo.tolist(), hi.tolist())) == {(0, 2), (1, 2), (1, 3)} and h.shape == (3, 2)
     assert span_dedup.sentences("一二三。四五六。 x. y") == ["一二三。", "四五六。 ", "x. ", "y"]
     assert len(span_dedup.runs(["一二三四五六七八九十" * 2 + "。", "四五六七八九十" * 2 + "。"], 25)[0]) == 1
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(common, "materialize", lambda df, tag: written.append(tag) or _materialize(df, tag))
+    edges = spark.createDataFrame([(10 * i + k, 10 * i) for i in range(50) for k in range(1, 9)], "a long, b long").repartition(5)
+    assert {(r.id, r.component_id) for r in connected_components(edges).collect()} == {(10 * i + k, 10 * i) for i in range(50) for k in range(9)}
+    assert len(written) == 2  # was 9: two rounds of four tables after the first

@@ -145,33 +145,43 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _forests(it):
+    """The edges of one task as (member, smallest member) of each component that they make."""
+    edges = [[c.to_numpy() for c in columns] for columns in batches(it, "a", "b")]
+    if edges:
+        a, b = local_forest(*(np.concatenate(c) for c in zip(*edges)))
+        for lo in range(0, len(a), 50_000):
+            yield arrow_rows(_EDGE, a=a[lo : lo + 50_000], b=b[lo : lo + 50_000])
+
+
 def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 40) -> DataFrame:
     """(id, component_id = smallest id reachable) for every id in edges (a, b), by alternating star rounds.
 
     Each round aggregates the smallest neighbour and joins it back; both sides of that join are plain exchanges,
-    so adaptive execution can split a hub with a third of all edges. Rounds are written to the shared folder.
-    Nothing but two counters reaches the driver. Null endpoints and self-loops are ignored.
+    so adaptive execution can split a hub with a third of all edges. Then tasks join what the larger ends of their edges
+    have in common; a hub is the smaller end of its edges, so these are spread. Rounds are written to the shared folder
+    and end when each node is either the root of others or hangs under one root.
+    Nothing but one counter reaches the driver. Null endpoints and self-loops are ignored.
     """
-    cur = materialize(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
-    )
-    before = None
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = lambda rows: materialize(rows.repartition(parts, "a").mapInArrow(frugal(_forests), "a long, b long"), tag)
+    cur = folded(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(max_rounds):
-        # large star: every larger neighbour of u is hung under u's smallest neighbour
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), tag)
-        up = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(up.where("a <> b").distinct(), tag)
-        # small star: u and its smaller neighbours are hung under the smallest of them
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), tag)
-        down = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        last, cur = cur, materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), tag)
-        discard(last, low, large, least)
-        state = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            roots = cur.groupBy("b").agg(F.lit(1).alias("n"))
-            return cur.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component_id")))
-        before = state
+        ends = both.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.when(F.col("b") < F.col("a"), F.col("b"))).alias("above"))
+        # a node under another that has nodes of its own or hangs under two
+        open_ = F.coalesce((F.col("high") > F.col("a")) | (F.col("above") != F.col("low")), F.lit(False)) & F.col("above").isNotNull()
+        low = materialize(ends.select("a", F.least("a", "low").alias("m"), open_.alias("open")), tag)
+        if not low.agg(F.count_if("open")).first()[0]:
+            discard(cur)
+            return low.select(F.col("a").alias("id"), F.col("m").alias("component_id"))
+        # every larger neighbour of u is hung under u's smallest neighbour
+        up = both.where("b > a").join(low.select("a", "m"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last, cur = cur, folded(up)
+        discard(last, low)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

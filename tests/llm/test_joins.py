@@ -5,6 +5,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -283,3 +284,32 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     edges = spark.createDataFrame([(10 * i + k, 10 * i) for i in range(50) for k in range(1, 9)], "a long, b long").repartition(5)
     assert {(r.id, r.component_id) for r in connected_components(edges).collect()} == {(10 * i + k, 10 * i) for i in range(50) for k in range(9)}
     assert len(written) == 2  # was 9: two rounds of four tables after the first
+
+
+def test_tasks_do_not_walk_what_the_worker_imported(spark):
+    def run(it):
+        import gc
+
+        for b in it:
+            yield pa.RecordBatch.from_pydict({"tracked": [len(gc.get_objects())], "apart": [gc.get_freeze_count()]})
+
+    row = spark.range(3).coalesce(1).mapInArrow(common.frugal(run), "tracked long, apart long").first()
+    assert row.apart > row.tracked
+
+
+def test_pairs_of_blocks_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 40)
+    tried = []
+
+    def tries(tasks, threshold, old=ngram_join._tries):
+        tried.append(tasks.groupBy("task").count().agg(F.max("count")).first()[0])
+        return old(tasks, threshold)
+
+    monkeypatch.setattr(ngram_join, "_tries", tries)
+    rng = np.random.default_rng(1)
+    sets = [(1, i, bytearray(np.unique(rng.integers(0, 2**63, 20).astype(np.uint64)).tobytes())) for i in range(120)]
+    sets[7] = (1, 7, sets[100][2])
+    made = _materialize(spark.createDataFrame(sets, "cell long, doc_id long, grams binary"), "made")
+    links = ngram_join._contract_large(made, Fraction("0.8")).collect()
+    assert {frozenset(r) for r in links} == {frozenset((7, 100))}
+    assert tried[1] <= 70  # two blocks; blocks of whole cells make 80 and more

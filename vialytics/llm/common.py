@@ -76,13 +76,22 @@ def give_back(keep: str | None = None) -> None:
         trim(0)
 
 
+def begin(keep: str | None = None) -> None:
+    """Before a task: caches that other operators left go. What a new worker has imported is set apart from garbage collection
+    for good, as each full one would walk all of it, and a task asks for three of them, however few rows it has."""
+    if not gc.get_freeze_count():
+        gc.collect()
+        gc.freeze()
+    if any(name != keep for name in CACHES):
+        give_back(keep)
+
+
 def frugal(run: Callable, keep: str | None = None) -> Callable:
     """run for mapInArrow. Caches that other operators left go when its task begins, unused memory when it ends."""
 
     @functools.wraps(run)
     def task(it):
-        if any(name != keep for name in CACHES):
-            give_back(keep)
+        begin(keep)
         try:
             yield from run(it)
         finally:

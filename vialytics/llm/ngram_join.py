@@ -503,8 +503,10 @@ def _may_be_members(bits):
 def _contract_large(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """Links inside cells of more than CELL sets: tries of leaders first, then of blocks that leaders left apart.
 
-    A block holds sets of one size class; only blocks of the same or neighbouring classes can link and meet.
+    A block holds sets of one size class; only blocks of the same or neighbouring classes can link and meet. Blocks are half
+    a cell at most: a trie of sets that leaders left apart prunes little, and a pair of blocks is one task's work.
     """
+    most = max(1, CELL // 2)
     subs = materialize(sets.groupBy("cell").agg(F.ceil(F.count("*") / CELL).alias("subs")), "subs")
     order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id")
     leaders = materialize(sets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS).drop("place"), "leaders")
@@ -512,18 +514,17 @@ def _contract_large(sets: DataFrame, threshold: Fraction) -> DataFrame:
     probing = sets.join(subs, "cell").select("cell", "doc_id", "grams", F.pmod(F.xxhash64("doc_id"), F.col("subs")).alias("sub"), F.lit(1).alias("side"))
     rows = probing.unionByName(led).select(F.xxhash64("cell", "sub").alias("task"), "side", "doc_id", F.col("doc_id").alias("home"), "grams")
     near = materialize(_tries(rows, threshold), "near-leaders")
-    home = materialize(connected_components(near, "homes"), "homes")
+    home = connected_components(near, "homes")
     # a little wider than a link's ratio of sizes, so that rounding cannot put linked sets two bands apart
     bands = F.floor(F.log(F.length("grams") / 8) / float(1.001 * np.log(threshold.denominator / threshold.numerator)))
     homed = sets.join(home, sets["doc_id"] == home["id"], "left").select("cell", "doc_id", "grams", F.coalesce("component_id", "doc_id").alias("home"), bands.alias("band"))
     homed = materialize(homed, "homed")
     count = homed.groupBy("cell").agg(F.count_distinct("home").alias("homes"))
-    open_cells = materialize(count.where("homes > 1").select("cell"), "open")
-    apart = homed.join(open_cells, "cell", "left_semi")
+    apart = homed.join(count.where("homes > 1").select("cell"), "cell", "left_semi")
     in_home = materialize(apart.groupBy("cell", "band", "home").agg(F.count("*").alias("n")), "in-home")
-    rest = in_home.groupBy("cell", "band").agg(F.sum(F.when(F.col("n") <= CELL, F.col("n"))).alias("rest"))
+    rest = in_home.groupBy("cell", "band").agg(F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("rest"))
     load = in_home.join(rest, ["cell", "band"])
-    block = F.when(F.col("n") > CELL, F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / CELL)))).otherwise(F.pmod(F.xxhash64("home"), F.ceil(F.col("rest") / CELL)))
+    block = F.when(F.col("n") > most, F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / most)))).otherwise(F.pmod(F.xxhash64("home"), F.ceil(F.col("rest") / most)))
     placed = apart.join(load, ["cell", "band", "home"]).select("cell", "doc_id", "home", "grams", "band", block.alias("block"))
     placed = materialize(placed, "placed")
     blocks = materialize(placed.groupBy("cell", "band", "block").agg(F.min("home").alias("low"), F.max("home").alias("high")), "blocks")
@@ -537,7 +538,7 @@ def _contract_large(sets: DataFrame, threshold: Fraction) -> DataFrame:
     sides = pairs.select("cell", "task", F.col("band_x").alias("band"), F.col("block_x").alias("block"), F.when(same, 0).otherwise(1).alias("side")).unionByName(
         pairs.where(~same).select("cell", "task", F.col("band_y").alias("band"), F.col("block_y").alias("block"), F.lit(2).alias("side"))
     )
-    dealt = placed.join(materialize(sides, "sides"), ["cell", "band", "block"])
+    dealt = placed.join(sides, ["cell", "band", "block"])
     far = materialize(_tries(dealt, threshold), "far-links")
     discard(leaders, homed, placed)
     return near.unionByName(far)
@@ -606,7 +607,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: str | float = "0.
     discard(sets, *unlinked)
     sweep(spark)
     component = connected_components(links.unionByName(sure.select("a", "b")), "links")
-    component = materialize(component, "components")
     meta = counted.where(F.col("kind") == META).select("doc_id", F.col("size").alias("n_shingles"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
     out = meta.join(component, meta["doc_id"] == component["id"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -263,3 +263,23 @@ def test_run_folders_are_found_read_and_written(spark, tmp_path):
     runs.write_run(runs.read_tracks(spark, root), out, "json")
     runs.write_run(runs.read_tracks(spark, root, "run_1"), out, "json")
     assert sorted(str(r.run_id) for r in spark.read.json(out).collect()) == ["1", "named"]
+
+
+def test_neighbours_gather_few_rows_and_rank_all(spark, monkeypatch):
+    monkeypatch.setattr(reid, "QUERIES", 7)
+    monkeypatch.setattr(reid, "GALLERY", 40)
+    draw = random.Random(5)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(6)], i % 4) for i in range(200)]
+    rows += [(1000 + i, rows[i % 3][1], None) for i in range(60)] + [(5000, [0.5, 0.5], 1), (5001, [0.0] * 6, 1)]
+    units = reid.normalized(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    plain = {r.vec_id: r.unit for r in units.collect()}
+    ranked = reid.neighbours(units.where("vec_id % 10 = 0"), units, 5)
+    got = {}
+    for r in ranked.collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.similarity)
+    for q in (i for i in plain if i % 10 == 0):
+        want = sorted((-round(sum(x * y for x, y in zip(plain[q], v)), 9), i) for i, v in plain.items() if i != q)[:5]
+        assert [got[q][k][0] for k in range(1, 6)] == [i for _, i in want]
+        assert [got[q][k][1] for k in range(1, 6)] == pytest.approx([-s for s, _ in want], abs=1e-12)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # no row for each pair of a query with the gallery

@@ -283,3 +283,14 @@ def test_neighbours_gather_few_rows_and_rank_all(spark, monkeypatch):
         assert [got[q][k][1] for k in range(1, 6)] == pytest.approx([-s for s, _ in want], abs=1e-12)
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan  # no row for each pair of a query with the gallery
+
+
+def test_decimal_weights_are_summed_exactly(spark):
+    from decimal import Decimal
+
+    from vialytics.operators import votes
+
+    rows = [(1, "CAR", w) for w in ("0.2", "0.6", "0.7")] + [(1, "BUS", w) for w in ("0.7", "0.3")] + [(2, "CAR", None)]
+    df = spark.createDataFrame([(t, label, w and Decimal(w)) for t, label, w in rows], "track_no long, label string, weight decimal(20,6)")
+    got = {r.track_no: (r.label, r.reason) for r in votes.weighted_vote(df, "track_no").collect()}
+    assert got == {1: ("CAR", "weighted_majority"), 2: ("UNKNOWN", "single_weak_prediction")}

@@ -16,13 +16,13 @@ def weighted_vote(predictions: DataFrame, key: str, label: str = "label", weight
 
     Missing and UNKNOWN labels do not vote; tracks of which none votes are not listed.
     """
-    votes = predictions.where(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).groupBy(key, label).agg(F.sum(F.coalesce(weight, F.lit(0.0))).alias("w"))
+    votes = predictions.where(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).groupBy(key, label).agg(F.sum(F.coalesce(weight, F.lit(0))).alias("w"))  # a whole zero: decimals stay decimals
     ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("w"), F.desc(label))))
     per_key = ranked.groupBy(key).agg(
         F.max(F.when(F.col("rank") == 1, F.col(label))).alias("top"), F.max(F.when(F.col("rank") == 1, F.col("w"))).alias("first"),
         F.max(F.when(F.col("rank") == 2, F.col("w"))).alias("second"), F.sum("w").alias("total"),
     )
-    agreement = F.try_divide(F.col("first"), F.col("total"))
+    agreement = F.try_divide(F.col("first").cast("double"), F.col("total").cast("double"))
     # rounded, so that a gap of just the limit does not depend on the order of sums
     close = F.round((F.col("first") - F.col("second")).cast("double"), 9) <= F.round(F.greatest(F.lit(LEAST_GAP), GAP_SHARE * F.col("first").cast("double")), 9)
     reason = (

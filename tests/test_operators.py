@@ -294,3 +294,27 @@ def test_decimal_weights_are_summed_exactly(spark):
     df = spark.createDataFrame([(t, label, w and Decimal(w)) for t, label, w in rows], "track_no long, label string, weight decimal(20,6)")
     got = {r.track_no: (r.label, r.reason) for r in votes.weighted_vote(df, "track_no").collect()}
     assert got == {1: ("CAR", "weighted_majority"), 2: ("UNKNOWN", "single_weak_prediction")}
+
+
+def test_owners_are_sought_near_their_plates(spark):
+    rows = [("A", 1, i, 40.0 * i, 10.0 * (i % 7), 40.0 * i + 60, 10.0 * (i % 7) + 50) for i in range(-60, 400)] + [("B", 9, 1, 0.0, 0.0, 10.0, 10.0), ("A", 1, 900, -9000.0, -50.0, 9000.0, 80.0)]
+    cars = spark.createDataFrame(rows, "camera_id string, frame_number long, track_no long, x1 double, y1 double, x2 double, y2 double")
+    tags = [("A", 1, t, 0.5, x, y, x + 12, y + 6) for _, f, t, x, y, *_ in rows if f == 1] + [("B", 9, 5, 0.5, 500.0, 0.0, 505.0, 4.0), ("C", 1, 6, 0.5, 0.0, 0.0, 9.0, 9.0)]
+    plate = "camera_id string, frame_number long, track_no long, confidence double, p_x1 double, p_y1 double, p_x2 double, p_y2 double"
+    tagged = spark.createDataFrame(tags, plate)
+    pairs = tagged.join(cars.withColumnRenamed("track_no", "owner"), ["camera_id", "frame_number"])
+    score = plates.owner_score(tuple(F.col(f"p_{c}") for c in ("x1", "y1", "x2", "y2")), tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.col("confidence"))
+    want = {}
+    for r in pairs.withColumn("score", score).collect():
+        best = want.setdefault((r.camera_id, r.track_no), [])
+        best += [(-r.score, r.owner)] if r.score is not None else []
+    for lost in (cars, cars.union(spark.createDataFrame([("B", 9, 2, None, 0.0, 1000.0, 3.0)], cars.schema))):
+        got = {(r.camera_id, r.track_no): r for r in plates.owners(tagged, lost).collect()}
+        assert set(got) == set(want)
+        for k, found in want.items():
+            if k[0] == "A":
+                assert got[k].owner == min(found)[1] and got[k].best_score == -min(found)[0]
+    assert got["B", 5].verdict == "target_not_in_owner_pool"  # a vehicle without a left edge reaches everything
+    joined = plates.owners(tagged, cars)
+    joined.collect()
+    assert "cell_x" in joined._jdf.queryExecution().optimizedPlan().toString()  # not all vehicles of a frame

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import Box, area, box, center, clip, height, intersection, width
 from ..functions.plates import validated
+from .places import cell_side, extent, in_cells
 
+#: So many frames are sent to all tasks rather than all plates dealt anew.
+FEW = 200_000
 OWNER_MARGIN, CLUSTER_SECONDS, CLUSTER_MARGIN = 0.05, 2.0, 0.03
 
 
@@ -24,15 +29,31 @@ def owner_score(plate: Box, vehicle: Box, confidence: Column) -> Column:
 def owners(plates: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Each plate's best owner among the vehicles of its camera and frame.
 
-    plates: camera_id, frame_number, track_no, confidence and the plate's box as p_x1 ...; vehicles: camera_id,
-    frame_number, track_no and box. One aggregation over the equi-join; the pairs of a frame are as many as it holds vehicles.
+    plates: camera_id, frame_number, track_no, confidence and the plate's box as p_x1 ..., one for each of the first three;
+    vehicles: camera_id, frame_number, track_no and box. A plate lies in one cell of space, that of its first corner; a
+    vehicle in all from which a plate may reach it. So the pairs of a plate meet in one place and are as many as share space,
+    not as the frame holds. Boxes that miss a corner have no cell: if there are any, all meet by frame alone.
     """
-    v = vehicles.select("camera_id", "frame_number", F.col("track_no").alias("owner"), "x1", "y1", "x2", "y2")
-    pairs = plates.join(v, ["camera_id", "frame_number"]).withColumn("score", owner_score(box("p_"), box(), F.col("confidence")))
+    (wide, high, lost), (w, h, missing) = extent(plates, box("p_")), extent(vehicles, box())
+    side = cell_side(wide, high, w, h) if not lost + missing else math.inf
+    if side == math.inf:
+        cells = {"cell_x": F.lit(0), "cell_y": F.lit(0)}
+        p, v = plates.withColumns(cells), vehicles.withColumns(cells)
+    else:
+        p = plates.withColumns({f"cell_{c}": F.floor(F.least(f"p_{c}1", f"p_{c}2") / side) for c in "xy"})
+        (x1, y1, x2, y2) = box()
+        v = in_cells(vehicles, (F.least(x1, x2) - wide, F.least(y1, y2) - high, F.greatest(x1, x2), F.greatest(y1, y2)), side)
+    place = ["camera_id", "frame_number", "cell_x", "cell_y"]
+    v = v.select(*place, F.col("track_no").alias("owner"), "x1", "y1", "x2", "y2", F.lit(True).alias("there"))
+    score = F.when(F.col("there"), owner_score(box("p_"), box(), F.col("confidence")))
+    pairs = p.join(v, place, "left").withColumn("score", score)
     keys = ["camera_id", "frame_number", "track_no"]
     best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("owner")).alias("minus"))))
     own = F.max(F.when(F.col("owner") == F.col("track_no"), F.col("score")))
-    found = pairs.groupBy(*keys).agg(best.alias("best"), own.alias("own"))
+    found = pairs.groupBy(*keys, "cell_x", "cell_y").agg(best.alias("best"), own.alias("own"))
+    held = vehicles.select("camera_id", "frame_number").distinct()
+    held = F.broadcast(held) if held.count() <= FEW else held
+    found = found.join(held, ["camera_id", "frame_number"], "left_semi")  # plates of frames without vehicles are not listed
     owner = -F.col("best.minus")
     verdict = (
         F.when(F.col("best").isNull(), "no_geometric_owner").when(F.col("own").isNull(), "target_not_in_owner_pool")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plates as text
 from ..operators import plates
+from ..sources.shared import written
 from ..sources.testdata import OBSERVATIONS, VEHICLES, observations, vehicle_records
 from .registry import query
 
@@ -62,7 +63,8 @@ _VAREA = "greatest(1, (v.x2 - v.x1) * (v.y2 - v.y1))"
     case when score is null then 'no_geometric_owner' when own is null then 'target_not_in_owner_pool' when owner <> track_no and round(score - own, 9) >= 0.05 then 'geometric_owner' else 'kept' end as verdict from r where k = 1"""
 )
 def plate_owner_argmax(spark, sf_dir):
-    rows = observations(spark, sf_dir).withColumn("camera_id", F.concat("run_id", F.lit("/"), "camera_id"))
+    seen = observations(spark, sf_dir).select(F.concat("run_id", F.lit("/"), "camera_id").alias("camera_id"), "frame_number", "track_no", "confidence", "x1", "y1", "x2", "y2")
+    rows = written(seen, "boxes")
     found = plates.owners(rows.selectExpr("camera_id", "frame_number", "track_no", "confidence", *(f"{e} as {n}" for n, e in _PLATE_BOXES.items())), rows)
     return found.withColumn("best_score", F.round("best_score", 6))
 

@@ -49,10 +49,10 @@ def bounds(spark, sf_dir, seen):
     return transitions.boundaries(pairs.select("run_id", "camera_id", F.col("track_no").alias("old_no"), "new_no"), seen)
 
 
-def _windows(spark, sf_dir):
-    seen = _seen(spark, sf_dir)
+def _windows(spark, sf_dir, seen=None, found=None):
+    seen = seen or _seen(spark, sf_dir)
     detected = seen.select(*transitions.FRAME, "class_name", "confidence", "passed", *(F.col(c).cast("double").alias(c) for c in transitions.BOX))
-    return transitions.frame_windows(bounds(spark, sf_dir, seen), detected, seen, ACTIVATION)
+    return transitions.frame_windows(found or bounds(spark, sf_dir, seen), detected, seen, ACTIVATION)
 
 
 @query(f"with {_BOUNDS} select run_id, camera_id, old_no, new_no, old_last_frame, old_last_seconds, new_first_frame, new_first_seconds, gap_frames, gap_seconds, round(t_x1, 6) as t_x1, round(t_y1, 6) as t_y1, round(t_x2, 6) as t_x2, round(t_y2, 6) as t_y2 from b")
@@ -74,8 +74,9 @@ _SUMMARIES = f"""{_WINDOWS}, s0 as (select run_id, camera_id, old_no, new_no, co
 
 
 def _summaries(spark, sf_dir):
-    windows = _windows(spark, sf_dir)
-    return transitions.transition_summaries(windows, ACTIVATION, windows.where("old_no % 3 = 0"))
+    seen = _seen(spark, sf_dir)
+    found = written(bounds(spark, sf_dir, seen), "bounds")
+    return transitions.transition_summaries(_windows(spark, sf_dir, seen, found), ACTIVATION, found.where("old_no % 3 = 0"))
 
 
 @query(f"with {_SUMMARIES} select run_id, camera_id, old_no, new_no, array_to_string(missing, ',') as missing_frames, array_to_string(low, ',') as low_frames, round(least_iou, 6) as least_iou, most_others, len(missing) > 0 as dropout, least_iou < 0.45 as box_jump, most_others > 0 as occlusion, root_cause from s")

@@ -318,3 +318,16 @@ def test_owners_are_sought_near_their_plates(spark):
     joined = plates.owners(tagged, cars)
     joined.collect()
     assert "cell_x" in joined._jdf.queryExecution().optimizedPlan().toString()  # not all vehicles of a frame
+
+
+def test_continued_tracks_are_those_of_all_pairs(spark):
+    draw = random.Random(11)
+    seen, tracks = [], []
+    for t in range(300):
+        x, y, f, dx = draw.uniform(0, 2500), draw.uniform(0, 400), draw.randrange(60), draw.uniform(-3, 9)
+        tracks.append(("r", "c", t, draw.choice(["CAR", "BUS", "UNKNOWN"]), draw.choice(["RED", "GREY", "UNKNOWN"])))
+        seen += [(t, f + i, (f + i) / 2.0, x + dx * i, y, x + dx * i + 20, y + 10) for i in range(draw.randrange(1, 7))]
+    observed = spark.createDataFrame(seen, "track_no long, frame_number long, timestamp_seconds double, x1 double, y1 double, x2 double, y2 double")
+    found = reconcile.tracklets(observed, spark.createDataFrame(tracks, "run_id string, camera_id string, track_no long, vehicle_class string, colour string")).cache()
+    every = reconcile.accepted(reconcile.pair_scores(found).withColumn("score", F.round("score", 9))).collect()
+    assert len(every) > 5 and sorted(map(tuple, reconcile.continued(found).collect())) == sorted(map(tuple, every))
